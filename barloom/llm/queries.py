@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dedup, sharding
-from .common import materialize
+from . import ann, bpe, exact_dedup, lm, mixing, near_dedup, quality, sharding, toxicity, warc
+from .common import fold_of, materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; a document's source is its host, its language there the path."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     path = tokenizer_path()
@@ -47,16 +53,48 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gated recurrent model of the training folds, and the log10 probability it gives every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fitted = lm.fit(docs.where(fold_of() != 1).select("text"))
+    out = lm.score(docs, fitted)
+    return out.select("doc_id", (fold_of() == 1).alias("held_out"), "n_tokens", "n_known", F.lit(fitted.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a lexicon learned from the training folds of labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold_of() != 0))
+    out = toxicity.score(docs, lexicon)
+    return out.select("doc_id", (fold_of() == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every vector whose id is divisible by 100."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages."""
+    out = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return out.select("page_id", "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "content_length", "block_digest", "payload_digest", F.map_entries("source_headers").cast("string").alias("source_headers"), F.decode("block", "UTF-8").alias("content"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed with sources weighing 5, 2, 1, repeating, none above three times its size."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_sharding": op5_sharding,
+    "op6_lm_score": op6_lm_score,
+    "op7_toxicity": op7_toxicity,
+    "op8_ann": op8_ann,
+    "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
 }
 
