@@ -10,8 +10,9 @@ whole sequence is one shingle. Documents are linked if 100 * intersection >= 75
 2. Documents with equal sets are one node. Bands of the nodes are aggregated to buckets; buckets with the same members
    count once.
 3. Buckets never emit all pairs: each member is checked against its bucket's first node, then, in buckets that still hold
-   several components, against its last node, and at last against the members of other components only. So every pair of
-   a bucket is either in one component or has been checked, whatever the bucket's size.
+   several components, against its last node, and at last against the members of other components only. Those whose
+   shingles are too often found in no other such member can't be linked and are left out; the rest are confirmed within
+   the join. So every pair of a bucket is in one component, has been checked or is ruled out, whatever the bucket's size.
 4. Pairs are confirmed on the full sets (64-bit hashes of shingles), read again only for documents in buckets.
 
 Null or empty text, or white space only: an empty set (n_shingles 0), linked with nothing. A null id is linked with nothing.
@@ -178,6 +179,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (na + nb - common)).select("a", "b")
 
 
+def _shareable(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of each node in rows: n, the size of its set, and s, how many of its shingles any other node in rows has too."""
+    own = sets.join(spread(rows.select(F.col("node").alias("id")).distinct()), "id").dropDuplicates(["id"])
+    alone = own.select("id", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("id").alias("_node"), F.count("*").alias("k")).where("k = 1")
+    alone = alone.groupBy("_node").agg(F.count("*").alias("u"))
+    sizes = own.select(F.col("id").alias("_node"), F.size("shingles").alias("n")).join(alone, "_node", "left")
+    return sizes.select("_node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """id_col, n_shingles, component_id (the least id that links reach) and kept (it is its own), one row for each row."""
     seen = materialize(sketches(df, id_col, text_col), "sketches")
@@ -212,11 +222,17 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
         else:
             rows = rows.withColumn("c", F.col("node"))
         if turn == "rest":
-            a, b = (rows.select("key", F.col("node").alias(x), F.col("c").alias(f"c_{x}")) for x in "ab")
-            pairs = a.join(b, "key").where("c_a < c_b").select("a", "b")
+            rows = rows.join(_shareable(sets, rows), F.col("node") == F.col("_node")).where(100 * F.col("s") >= percent * F.col("n"))
+            rows = materialize(rows.join(sets.dropDuplicates(["id"]), F.col("node") == F.col("id")), "open")
+            a, b = (rows.select("key", *[F.col(k).alias(f"{k}_{x}") for k in ("node", "c", "n", "s", "shingles")]) for x in "ab")
+            most, common = F.least("s_a", "s_b"), F.size(F.array_intersect("shingles_a", "shingles_b"))
+            able, similar = (100 * m >= percent * (F.col("n_a") + F.col("n_b") - m) for m in (most, common))
+            # the join's condition confirms pairs, so that it makes only links
+            links = a.join(b, (a["key"] == b["key"]) & (F.col("c_a") < F.col("c_b")) & F.when(able, similar)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         else:
             pairs = rows.where(F.col("node") != F.col(turn)).select(F.col(turn).alias("a"), F.col("node").alias("b"))
-        links = materialize(_linked(pairs.distinct(), sets, percent), "confirmed")
+            links = _linked(pairs.distinct(), sets, percent)
+        links = materialize(links, "confirmed")
         if known is not None:
             links = known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)
         known = components(links)
