@@ -1,0 +1,79 @@
+"""One spot account trading one source, as a step for recursive.fold: bars and signals in, fills and equity out.
+
+A signal at one bar is placed at the next. Market orders fill at the open and pay slippage and the taker's fee; a stop fills
+at the worse, a target (resting, the maker's fee) at the better of its price and the open. A bar has one fill at most, tried
+in the order stop, target, exit, entry. Stops and targets are armed only while a position is open.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import recursive
+
+INPUTS = ["open", "high", "low", "close", "enter", "leave", "stop", "target"]
+OUTPUTS = ["action", "fill_price", "quantity", "fee", "realized_pnl", "position", "cash", "equity"]
+
+
+def account(capital: float = 10_000.0, fraction: float = 1.0, maker: float = 0.0, taker: float = 0.001, slippage_bps: float = 2.0, most_bars: int | None = None, cooldown: int = 0, participation: float | None = None) -> Callable:
+    """A step over INPUTS (and volume, if participation limits an entry to that share of it) that gives OUTPUTS; action is 1 for a buy, -1 for a sale."""
+    cash, held, cost, bars, rest = capital, 0.0, 0.0, 0, 0
+    waiting = (False, False, None, None)
+    slip = slippage_bps / 10_000
+
+    def leave_at(o: float, h: float, lo: float) -> tuple[float, float] | None:
+        """Price and fee rate of the sale this bar makes, if any."""
+        _, out, stop, target = waiting
+        if stop is not None and lo <= stop:
+            return min(o, stop) * (1 - slip), taker
+        if target is not None and h >= target:
+            return max(o, target), maker
+        if out or (most_bars is not None and bars >= most_bars):
+            return o * (1 - slip), taker
+        return None
+
+    def step(o: float | None, h: float | None, lo: float | None, c: float | None, enter: float | None, leave: float | None, stop: float | None, target: float | None, volume: float | None = None) -> tuple:
+        nonlocal cash, held, cost, bars, rest, waiting
+        if None in (o, h, lo, c):
+            return (None,) * len(OUTPUTS)
+        action, price, quantity, fee, pnl = 0, None, None, None, None
+        rest = max(0, rest - 1)
+        if held:
+            bars += 1
+            sale = leave_at(o, h, lo)
+            if sale:
+                price, quantity = sale[0], held
+                fee = price * held * sale[1]
+                pnl = price * held - fee - cost
+                cash, held, action, rest = cash + price * held - fee, 0.0, -1, cooldown + 1 if cooldown else 0
+        elif waiting[0] and not rest:
+            price = o * (1 + slip)
+            quantity = cash * fraction / (price * (1 + taker))
+            if participation is not None and (volume is None or quantity > volume * participation):
+                price = quantity = None  # too large a share of the bar's volume: cancelled
+            else:
+                fee = price * quantity * taker
+                cost = price * quantity + fee
+                cash, held, action, bars = cash - cost, quantity, 1, 0
+        waiting = (bool(enter) and not leave, bool(leave), stop, target)
+        return action, price, quantity, fee, pnl, held, cash, cash + held * c
+
+    return step
+
+
+def simulate(signals: DataFrame, **settings: float) -> DataFrame:
+    """signals (bars with enter, leave: boolean; stop, target: double or NULL) with the fills and equity of an account for each source."""
+    inputs = [*INPUTS, *(["volume"] if settings.get("participation") is not None else [])]
+    return recursive.fold(signals, {"account": (lambda: account(**settings), inputs, OUTPUTS)})
+
+
+def trades(result: DataFrame) -> DataFrame:
+    """By source, of a simulation: sales, the share of them with a gain, gains summed, fees, and the last equity."""
+    sold = F.col("action") == -1
+    return result.groupBy("source").agg(
+        F.count(F.when(sold, 1)).alias("trades"), F.avg(F.when(sold, (F.col("realized_pnl") > 0).cast("double"))).alias("win_rate"), F.sum("realized_pnl").alias("realized_pnl"),
+        F.sum("fee").alias("fees"), F.max(F.struct("time", "equity"))["equity"].alias("ending_equity"), F.avg((F.col("position") > 0).cast("double")).alias("exposure"),
+    )

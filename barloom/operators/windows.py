@@ -316,3 +316,97 @@ def anchored_vwap(price: Column, volume: Column) -> Column:
     """From the first row, before any anchor too."""
     v = F.sum(volume).over(epoch())
     return F.when(v != 0, F.sum(price * volume).over(epoch()) / F.nullif(v, F.lit(0.0)))
+
+
+def highest_bars_since(x: Column) -> Column:
+    """Rows since the maximum of the epoch, the newest if several."""
+    return F.when((F.col("_epoch") > 0) & x.isNotNull(), (_row() - F.max(F.when(x.isNotNull(), F.struct(x.alias("x"), _row().alias("i")))).over(epoch())["i"]).cast("double"))
+
+
+def lowest_bars_since(x: Column) -> Column:
+    return highest_bars_since(-x)
+
+
+def with_value_when(df: DataFrame, c: Column, x: Column, out: str, occurrence: int = 0, since_anchor: bool = False) -> DataFrame:
+    """df with the value x had at the condition's last occurrence but `occurrence`; since_anchor forgets at each anchor (see prepared).
+
+    The occurrences are numbered among themselves by one lag, so no row carries a list of those before it.
+    """
+    keys = ["source", "_epoch"] if since_anchor else ["source"]
+    hits = Window.partitionBy(*keys, "_hit").orderBy("time")
+    rows = df.withColumn("_hit", F.coalesce(c, F.lit(False)))
+    rows = rows.withColumn("_caught", F.when(F.col("_hit"), F.struct(F.lag(x, occurrence).over(hits).alias("v"))))
+    last = F.last("_caught", True).over(Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0))["v"]
+    seen = c.isNotNull() & (F.col("_epoch") > 0) if since_anchor else c.isNotNull()
+    return rows.withColumn(out, F.when(seen, last)).drop("_hit", "_caught")
+
+
+# more of the above, by what they are made of
+
+
+def mom(x: Column, n: int = 10) -> Column:
+    return change(x, n)
+
+
+def cross(a: Column, b: Column) -> Column:
+    return crossover(a, b) | crossunder(a, b)
+
+
+def minmax(x: Column, n: int = 30) -> tuple[Column, Column]:
+    return lowest(x, n), highest(x, n)
+
+
+def minmax_index(x: Column, n: int = 30) -> tuple[Column, Column]:
+    return min_index(x, n), max_index(x, n)
+
+
+def trange() -> Column:
+    """The range of a row with the close before it (see prepared); NULL in the first row."""
+    h, lo, p = F.col("high"), F.col("low"), F.col("_c0")
+    return F.when(h.isNotNull() & lo.isNotNull() & p.isNotNull(), F.greatest(h - lo, F.abs(p - h), F.abs(p - lo)))
+
+
+def donchian(n: int = 20) -> tuple[Column, Column, Column]:
+    """Upper, middle, lower."""
+    top, bottom = highest(F.col("high"), n), lowest(F.col("low"), n)
+    return top, (top + bottom) / 2, bottom
+
+
+def bbands(x: Column, n: int = 5, up: float = 2.0, down: float = 2.0) -> tuple[Column, Column, Column]:
+    """Upper, middle, lower round the plain mean."""
+    m, d = sma(x, n), stddev(x, n)
+    return m + up * d, m, m - down * d
+
+
+def accbands(n: int = 20) -> tuple[Column, Column, Column]:
+    """Upper, middle, lower: means of prices widened by their relative range."""
+    h, lo = F.col("high"), F.col("low")
+    wide = F.when(h + lo == 0, 0.0).otherwise(4 * (h - lo) / F.nullif(h + lo, F.lit(0.0)))
+    return sma(h * (1 + wide), n), sma(F.col("close"), n), sma(lo * (1 - wide), n)
+
+
+def aroon_osc(n: int = 14) -> Column:
+    down, up = aroon(n)
+    return up - down
+
+
+def apo(x: Column, fast: int = 12, slow: int = 26) -> Column:
+    """Of plain means."""
+    return sma(x, min(fast, slow)) - sma(x, max(fast, slow))
+
+
+def ppo(x: Column, fast: int = 12, slow: int = 26) -> Column:
+    m = sma(x, max(fast, slow))
+    return ratio(100 * (sma(x, min(fast, slow)) - m), m)
+
+
+def with_returns(df: DataFrame, **of: Column) -> DataFrame:
+    """df with the one-row returns of columns; after a zero the return counts as 0."""
+    return df.withColumns({k: F.when(lag(x) == 0, 0.0).otherwise(x / F.nullif(lag(x), F.lit(0.0)) - 1) for k, x in of.items()})
+
+
+def beta(x: Column, y: Column, n: int = 5) -> Column:
+    """The slope of y on x over n rows; both are returns (see with_returns)."""
+    sx, sy, sxx, sxy = (F.sum(v).over(rows(n)) for v in (x, y, x * x, x * y))
+    under = n * sxx - sx * sx
+    return full(F.when(x.isNotNull() & y.isNotNull(), 1), n, ratio(n * sxy - sx * sy, under))

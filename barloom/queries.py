@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
-from .operators import analytics, recursive, venue
+from .operators import analytics, averages, cycle, recursive, simulate, venue
 from .operators import windows as W
 from .plans import timeline
 from .sources import bars as B
@@ -113,6 +113,43 @@ def ema_series(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", "time", r(F.col("ema10"), 3).alias("ema10"))
 
 
+def bands(spark: SparkSession, d: str) -> DataFrame:
+    df = W.with_returns(W.prepared(B.order_bars(spark, d)), _rx=close(), _ry=volume())
+    (top, _, bottom), (dt, dm, db), (at, am, ab) = W.bbands(close(), 5), W.donchian(20), W.accbands(10)
+    return _out(df, bb_up=r(top, 3), bb_low=r(bottom, 3), don_up=dt, don_mid=r(dm, 3), don_low=db, acc_up=r(at, 3), acc_mid=r(am, 3), acc_low=r(ab, 3), tr=r(W.trange(), 3), mom10=r(W.mom(close()), 3), apo=r(W.apo(close(), 5, 10), 3), ppo=r(W.ppo(close(), 5, 10), 3), beta5=r(W.beta(F.col("_rx"), F.col("_ry"), 5), 4), crossed=W.cross(close(), F.col("open")))
+
+
+def event_history(spark: SparkSession, d: str) -> DataFrame:
+    df = W.prepared(B.order_bars(spark, d).withColumn("c", close() > F.col("open")), anchor=volume() >= 3)
+    df = W.with_value_when(df, F.col("c"), close(), "before", 1)
+    df = W.with_value_when(df, F.col("c"), close(), "before_since", 1, since_anchor=True)
+    return _out(df, before=F.col("before"), before_since=F.col("before_since"), hb=W.highest_bars_since(close()), lb=W.lowest_bars_since(close()))
+
+
+def stochastics(spark: SparkSession, d: str) -> DataFrame:
+    hlc = ["high", "low", "close"]
+    out = recursive.fold(B.order_bars(spark, d), {"f": (lambda: averages.stochf(5, 3), hlc, ["fk", "fd"]), "s": (lambda: averages.stoch(5, 3, slow_d=3), hlc, ["sk", "sd"]), "n": (lambda: averages.ma(7, "wma"), ["close"], ["w7"])})
+    return _out(out, **{c: r(F.col(c), 3) for c in ("fk", "fd", "sk", "sd", "w7")})
+
+
+def cycles(spark: SparkSession, d: str) -> DataFrame:
+    c, hl, hlc = ["close"], ["high", "low"], ["high", "low", "close"]
+    makers: dict = {
+        "period": (cycle.ht_dcperiod, c, ["period"]), "phase": (cycle.ht_dcphase, c, ["phase"]), "phasor": (cycle.ht_phasor, c, ["in_phase", "quadrature"]), "sine": (cycle.ht_sine, c, ["sine", "lead"]),
+        "line": (cycle.ht_trendline, c, ["trendline"]), "mode": (cycle.ht_trendmode, c, ["mode"]), "mama": (cycle.mama, c, ["mama", "fama"]), "t3": (averages.t3, c, ["t3"]), "sar": (averages.sar, hl, ["sar"]),
+        "sarext": (averages.sarext, hl, ["sarext"]), "natr": (averages.natr, hlc, ["natr"]), "adxr": (averages.adxr, hlc, ["adxr"]), "dm": (averages.moves, hl, ["plus_dm", "minus_dm"]),
+        "stochrsi": (averages.stochrsi, c, ["rk", "rd"]), "macdext": (averages.macdext, c, ["xl", "xs", "xh"]), "macdfix": (averages.macdfix, c, ["ml", "ms", "mh"]), "bb": (lambda: averages.bbands(5, kind="ema"), c, ["b_up", "b_mid", "b_low"]),
+        "mavp": (lambda: averages.mavp(2, 10, "ema"), ["close", "volume"], ["mavp"]), "apo": (lambda: averages.apo(5, 10, "ema"), c, ["apo"]), "ppo": (lambda: averages.ppo(5, 10, "kama"), c, ["ppo"]),
+    }
+    return recursive.fold(B.order_bars(spark, d), makers)
+
+
+def simulated(spark: SparkSession, d: str) -> DataFrame:
+    bars = B.order_bars(spark, d).withColumns({"f": W.sma(close(), 5), "s": W.sma(close(), 20)})
+    signals = bars.withColumns({"enter": W.crossover(F.col("f"), F.col("s")), "leave": W.crossunder(F.col("f"), F.col("s")), "stop": close() * 0.5, "target": close() * 1.5})
+    return simulate.trades(simulate.simulate(signals, most_bars=30, cooldown=2))
+
+
 def drawdowns(spark: SparkSession, d: str) -> DataFrame:
     return analytics.drawdown(B.order_bars(spark, d).withColumn("equity", W.cum(close() - F.col("open")))).select("source", r(F.col("max_drawdown"), 2).alias("max_drawdown"), F.col("longest_drawdown").cast("long"))
 
@@ -127,7 +164,7 @@ def hourly_event_bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (daily_sma_cross, weekly_bars, rolling, regression, rates, prices, oscillators, event_memory, venue_choice, venue_ranks, aligned, three_day_view, alignment_report, recursive_set, ema_series, drawdowns, forward, hourly_event_bars)
+    f.__name__: f for f in (daily_sma_cross, weekly_bars, rolling, regression, rates, prices, oscillators, event_memory, venue_choice, venue_ranks, aligned, three_day_view, alignment_report, recursive_set, ema_series, bands, event_history, stochastics, cycles, simulated, drawdowns, forward, hourly_event_bars)
 }
 
 _BARS = """WITH RECURSIVE bars AS (
@@ -169,6 +206,21 @@ ORACLE_SQL: dict[str, str] = {
     "regression": f"""{_BARS}, i AS (SELECT *, row_number() OVER {_BY}::DOUBLE AS i FROM bars), s AS (SELECT *, regr_slope(close, i) OVER {_w(14)} AS b, avg(close) OVER {_w(14)} AS m FROM i)
         SELECT source, time, round(CASE WHEN i >= 14 THEN b END, 4) AS slope, round(CASE WHEN i >= 14 THEN m - 6.5 * b END, 4) AS intercept,
                round(CASE WHEN i >= 14 THEN m + 7.5 * b END, 4) AS forecast, round(CASE WHEN i >= 14 THEN m + 6.5 * b END, 4) AS value FROM s""",
+    "bands": f"""{_BARS}, p AS (SELECT *, lag(close) OVER {_BY} AS p, lag(open) OVER {_BY} AS po, close / lag(close) OVER {_BY} - 1 AS x, volume / lag(volume) OVER {_BY} - 1 AS y, 4 * (high - low) / (high + low) AS k FROM bars)
+        SELECT source, time, round({_full(f'avg(close) OVER {_w(5)} + 2 * stddev_pop(close) OVER {_w(5)}', 5)}, 3) AS bb_up, round({_full(f'avg(close) OVER {_w(5)} - 2 * stddev_pop(close) OVER {_w(5)}', 5)}, 3) AS bb_low,
+        {_full(f'max(high) OVER {_w(20)}', 20)} AS don_up, round({_full(f'(max(high) OVER {_w(20)} + min(low) OVER {_w(20)}) / 2', 20)}, 3) AS don_mid, {_full(f'min(low) OVER {_w(20)}', 20)} AS don_low,
+        round({_full(f'avg(high * (1 + k)) OVER {_w(10)}', 10)}, 3) AS acc_up, round({_full(f'avg(close) OVER {_w(10)}', 10)}, 3) AS acc_mid, round({_full(f'avg(low * (1 - k)) OVER {_w(10)}', 10)}, 3) AS acc_low,
+        round(CASE WHEN p IS NOT NULL THEN greatest(high - low, abs(p - high), abs(p - low)) END, 3) AS tr, round(close - lag(close, 10) OVER {_BY}, 3) AS mom10,
+        round({_full(f'avg(close) OVER {_w(5)} - avg(close) OVER {_w(10)}', 10)}, 3) AS apo, round({_full(f'100 * (avg(close) OVER {_w(5)} / avg(close) OVER {_w(10)} - 1)', 10)}, 3) AS ppo,
+        round(CASE WHEN count(x) OVER {_w(5)} = 5 THEN coalesce((5 * sum(x * y) OVER {_w(5)} - sum(x) OVER {_w(5)} * sum(y) OVER {_w(5)}) / nullif(5 * sum(x * x) OVER {_w(5)} - (sum(x) OVER {_w(5)}) ** 2, 0), 0) END, 4) AS beta5,
+        CASE WHEN p IS NOT NULL THEN (close > open AND p <= po) OR (close < open AND p >= po) END AS crossed FROM p""",
+    "event_history": f"""{_BARS}, a AS (SELECT *, close > open AS c, row_number() OVER {_BY} AS i, sum((volume >= 3)::INT) OVER {_ALL} AS ep FROM bars),
+        h AS (SELECT *, lag(close) OVER (PARTITION BY source, c ORDER BY time) AS v, lag(close) OVER (PARTITION BY source, ep, c ORDER BY time) AS ve FROM a)
+        SELECT source, time, last_value(CASE WHEN c THEN v END IGNORE NULLS) OVER {_ALL} AS before, CASE WHEN ep > 0 THEN last_value(CASE WHEN c THEN ve END IGNORE NULLS) OVER e END AS before_since,
+        CASE WHEN ep > 0 THEN (i - arg_max(i, close) OVER e)::DOUBLE END AS hb, CASE WHEN ep > 0 THEN (i - arg_min(i, close) OVER e)::DOUBLE END AS lb FROM h WINDOW e AS (PARTITION BY source, ep ORDER BY time ROWS UNBOUNDED PRECEDING)""",
+    "stochastics": f"""{_BARS}, k AS (SELECT *, {_full(f'coalesce(100 * (close - min(low) OVER {_w(5)}) / nullif(max(high) OVER {_w(5)} - min(low) OVER {_w(5)}, 0), 0)', 5)} AS k FROM bars),
+        s AS (SELECT *, CASE WHEN count(k) OVER {_w(3)} = 3 THEN avg(k) OVER {_w(3)} END AS s FROM k), t AS (SELECT *, CASE WHEN count(s) OVER {_w(3)} = 3 THEN avg(s) OVER {_w(3)} END AS t FROM s)
+        SELECT source, time, round(CASE WHEN s IS NOT NULL THEN k END, 3) AS fk, round(s, 3) AS fd, round(CASE WHEN t IS NOT NULL THEN s END, 3) AS sk, round(t, 3) AS sd, round(({_LAGS([7, 6, 5, 4, 3, 2, 1])}) / 28, 3) AS w7 FROM t""",
     "venue_choice": f"{_BARS} SELECT time, arg_min(source, (close, source)) AS cheapest, arg_min(source, (-close, source)) AS richest FROM bars GROUP BY time",
     "venue_ranks": f"""{_BARS} SELECT source, time, close, (row_number() OVER (PARTITION BY time ORDER BY close, source))::INT AS rank_asc,
         (row_number() OVER (PARTITION BY time ORDER BY close DESC, source))::INT AS rank_desc, row_number() OVER (PARTITION BY time ORDER BY close DESC, source) <= 2 AS in_top_2 FROM bars""",

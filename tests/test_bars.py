@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from barloom import queries
 from barloom.functions import scalar
-from barloom.operators import analytics, recursive, windows
+from barloom.operators import analytics, averages, cycle, recursive, simulate, windows
 from barloom.plans import timeline
 from barloom.sources import bars as sources
 
@@ -123,6 +123,52 @@ def test_resample_keeps_a_trailing_part(spark):
     assert got == [(0, 0.5, 4.0, 0.0, 3.0, 3003.0), (180_000, 3.5, 5.0, 3.0, 4.0, 1003.0)]
 
 
+def run(step, *series):
+    return [step(*x) for x in zip(*series, strict=True)]
+
+
+def test_cycles_find_a_sine():
+    wave = [100 + 5 * math.sin(2 * math.pi * k / 20) for k in range(300)]
+    period, sine, mode, phase = (run(f(), wave) for f in (cycle.ht_dcperiod, cycle.ht_sine, cycle.ht_trendmode, cycle.ht_dcphase))
+    assert period[31] is None and period[32] is not None and phase[62] is None and phase[63] is not None
+    assert abs(period[-1] - 20) < 1 and all(-1 <= a <= 1 for a, _ in sine[63:]) and set(mode[63:]) <= {0.0, 1.0}
+    assert run(cycle.mama(), wave)[32] is not None and run(cycle.ht_phasor(), wave)[31] == (None, None)
+    line = run(cycle.ht_trendline(), wave)
+    assert line[62] is None and abs(line[-1] - 100) < 1.5
+
+
+def test_averages_equal_plain_ones():
+    x = [float(v) for v in (3, 5, 4, 6, 9, 8, 7, 10, 12, 11)]
+    assert run(averages.sma(4), x)[3:5] == [4.5, 6.0] and run(averages.wma(3), x)[2] == (3 + 10 + 12) / 6 and run(averages.trima(4), x)[3] == (3 + 10 + 8 + 6) / 6
+    assert run(averages.sma(2), [1.0, None, 3.0, 5.0]) == [None, None, None, 4.0]
+    assert run(averages.t3(1, 0.7), x) == pytest.approx(x)
+    assert run(averages.apo(2, 4), x)[3] == 5 - 4.5 == run(averages.apo(4, 2), x)[3]
+    assert run(averages.bbands(2), x)[1] == pytest.approx((6, 4, 2))
+    assert run(averages.mavp(1, 3), x, [9.0] * 10)[2] == 4.0 and run(averages.mavp(1, 3), x, [0.0] * 10)[2] == 4.0
+    with pytest.raises(ValueError):
+        averages.ma(3, "cdl")
+    flat = [5.0] * 40
+    assert run(averages.stochrsi(), flat)[-1] == (0.0, 0.0) and run(averages.natr(3), flat, flat, flat)[-1] == 0
+
+
+def test_parabolic_stop_follows_and_turns():
+    up = [10.0 + k for k in range(10)]
+    got = run(averages.sar(), [v + 1 for v in up], [v - 1 for v in up])
+    assert got[0] is None and got[1] == 9.0 and got[2] == pytest.approx(9 + 0.02 * (12 - 9)) and got == [got[0], *sorted(got[1:])]
+    down = [v + 1 for v in up] + [5.0], [v - 1 for v in up] + [3.0]
+    assert run(averages.sar(), *down)[-1] == 20.0 and run(averages.sarext(), *down)[-1] == -20.0
+
+
+def test_account_fills_at_the_next_bar_once():
+    step = simulate.account(1000.0, taker=0.0, slippage_bps=0.0)
+    rows = [(10, 11, 9, 10, True, False, None, None), (20, 21, 19, 20, False, False, 15, 40), (22, 23, 14, 16, False, True, None, None), (17, 18, 16, 17, False, False, None, None)]
+    got = [step(*r) for r in rows]
+    assert [g[0] for g in got] == [0, 1, -1, 0] and got[1][1] == 20 and got[2][1] == 15 and got[2][4] == -250 and got[3][-1] == 750
+    late = simulate.account(1000.0, taker=0.0, slippage_bps=0.0, most_bars=1)
+    assert [late(10, 11, 9, 10, True, False, None, None)[0] for _ in range(4)] == [0, 1, -1, 1]
+    assert simulate.account()(None, 1, 1, 1, True, False, None, None)[0] is None
+
+
 def test_reports(spark):
     eq = spark.createDataFrame([("a", k * 86_400_000, v) for k, v in enumerate([10.0, 12.0, 9.0, 11.0, 13.0])], "source string, time long, equity double")
     assert tuple(analytics.drawdown(eq).first()) == ("a", 3.0, 2)
@@ -130,6 +176,11 @@ def test_reports(spark):
     assert analytics.segments(10, 4, 2, 2) == [(0, 0, 4, 6), (1, 2, 6, 8), (2, 4, 8, 10)]
 
 
+def test_folds_without_sql_give_a_row_for_each_bar(spark):
+    n = sources.order_bars(spark, SF).count()
+    assert queries.cycles(spark, SF).count() == n and queries.simulated(spark, SF).count() == 5
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
