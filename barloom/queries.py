@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
-from .operators import analytics, averages, cycle, recursive, simulate, venue
+from .operators import analytics, averages, cycle, evaluate, recursive, simulate, venue
 from .operators import windows as W
 from .plans import timeline
 from .sources import bars as B
@@ -163,8 +163,67 @@ def hourly_event_bars(spark: SparkSession, d: str) -> DataFrame:
     return stream_bars(spark.read.parquet(f"{d}/events.parquet"), "1h")
 
 
+def sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The three best of nine candidates of a crossing of two means, for each source."""
+    lengths = [3, 5, 8, 15, 20, 30]
+    bars = B.order_bars(spark, d).withColumns({f"m{n}": W.sma(close(), n) for n in lengths}).withColumns({f"p{n}": F.lag(f"m{n}").over(W.by()) for n in lengths})
+    now, before = (F.create_map(*[x for n in lengths for x in (F.lit(n), F.col(f"{k}{n}"))]) for k in "mp")
+    runs = evaluate.grid(bars.select("source", "time", "open", "high", "low", "close", now.alias("now"), before.alias("before")), fast=[3, 5, 8], slow=[15, 20, 30])
+    f, s, f0, s0 = (F.element_at(m, n) for m in ("now", "before") for n in (F.col("fast"), F.col("slow")))
+    none = F.lit(None).cast("double")
+    runs = runs.withColumns({"enter": (f > s) & (f0 <= s0), "leave": (f < s) & (f0 >= s0), "stop": none, "target": none}).drop("now", "before")
+    keys = ["candidate", "fast", "slow"]
+    return evaluate.best(evaluate.scores(evaluate.simulate_runs(runs, *keys), *keys), "total_return", 3)
+
+
+def walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out closes of segments, stitched."""
+    rows = evaluate.walk_forward(B.order_bars(spark, d).select("source", "time", close().alias("equity")), 30, 10, 10).where("held_out")
+    out = evaluate.stitched(rows)
+    return out.select("source", "time", F.col("segment").cast("long"), r(F.col("stitched"), 2).alias("stitched"))
+
+
+def forward_extremes(spark: SparkSession, d: str) -> DataFrame:
+    return _out(evaluate.forward_extremes(B.order_bars(spark, d)), favorable=r(F.col("favorable")), adverse=r(F.col("adverse")))
+
+
+def flag_stats(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.flag_stats(B.order_bars(spark, d), close() > W.sma(close(), 5))
+
+
+def flag_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return B.order_bars(spark, d).groupBy("source").agg(*analytics.overlap(close() > F.col("open"), volume() >= 3))
+
+
+def export_stats(spark: SparkSession, d: str) -> DataFrame:
+    out = analytics.export_stats(B.order_bars(spark, d).withColumn("m", W.sma(close(), 5)), "m")
+    return out.select("source", "samples", "missing", *[r(F.col(c), 3).alias(c) for c in ("least", "greatest", "mean")])
+
+
+def capture(spark: SparkSession, d: str) -> DataFrame:
+    bars = B.order_bars(spark, d).where(F.col("time") % (30 * B.FIXED_MS["1d"]) == 0)
+    return evaluate.capture(bars, close() > F.col("open")).select("source", "state", "bars", r(F.col("compounded"), 4).alias("compounded"))
+
+
+def missing_windows(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.missing_windows(B.order_bars(spark, d), B.FIXED_MS["1d"])
+
+
+def event_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Events as trades: their value by weekday, hour, four-hour bucket and holding time."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select((F.col("value") - 50).alias("pnl"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), (F.col("user_id") % 40).alias("held"))
+    out = evaluate.trade_groups(rows, "pnl", **evaluate.exit_keys(F.col("time"), F.col("held")))
+    return out.select("key", "label", "trades", "gains", r(F.col("total"), 2).alias("total"), r(F.col("mean"), 3).alias("mean"))
+
+
+def maintenance(spark: SparkSession, d: str) -> DataFrame:
+    tiers = [(0.0, 50_000.0, 0.004, 0.0), (50_000.0, 200_000.0, 0.005, 50.0), (200_000.0, None, 0.01, 1_050.0)]
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return orders.groupBy(F.col("o_orderpriority").alias("source")).agg(r(F.sum(evaluate.maintenance(F.col("o_totalprice"), tiers)), 2).alias("margin"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (daily_sma_cross, weekly_bars, rolling, regression, rates, prices, oscillators, event_memory, venue_choice, venue_ranks, aligned, three_day_view, alignment_report, recursive_set, ema_series, bands, event_history, stochastics, cycles, simulated, drawdowns, forward, hourly_event_bars)
+    f.__name__: f for f in (daily_sma_cross, weekly_bars, rolling, regression, rates, prices, oscillators, event_memory, venue_choice, venue_ranks, aligned, three_day_view, alignment_report, recursive_set, ema_series, bands, event_history, stochastics, cycles, simulated, drawdowns, forward, hourly_event_bars, sweep, walk_forward, forward_extremes, flag_stats, flag_overlap, export_stats, capture, missing_windows, event_groups, maintenance)
 }
 
 _BARS = """WITH RECURSIVE bars AS (
@@ -246,4 +305,26 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT source, island, max(peak - e) AS d, sum((e < peak)::INT) AS n FROM k GROUP BY ALL) SELECT source, round(max(d), 2) AS max_drawdown, max(n)::BIGINT AS longest_drawdown FROM g GROUP BY source""",
     "hourly_event_bars": """SELECT event_type AS source, epoch_ms(date_trunc('hour', ts)) AS time, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
         arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY ALL""",
+    "walk_forward": f"""{_BARS}, i AS (SELECT *, row_number() OVER {_BY} - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM bars),
+        s AS (SELECT source, unnest(range(0, max(n) - 39, 10)) AS start FROM i GROUP BY source),
+        h AS (SELECT i.source, time, close, start // 10 AS segment FROM s JOIN i ON i.source = s.source AND i.i >= start + 30 AND i.i < start + 40),
+        e AS (SELECT source, segment, arg_min(close, time) AS a, arg_max(close, time) AS b FROM h GROUP BY ALL),
+        k AS (SELECT source, segment, 10000 / a * coalesce(exp(sum(ln(b / a)) OVER (PARTITION BY source ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS k FROM e)
+        SELECT h.source, h.time, h.segment::BIGINT AS segment, round(h.close * k.k, 2) AS stitched FROM h JOIN k ON k.source = h.source AND k.segment = h.segment""",
+    "forward_extremes": f"""{_BARS} SELECT source, time, round(max(high) OVER n / close - 1, 5) AS favorable, round(min(low) OVER n / close - 1, 5) AS adverse
+        FROM bars WINDOW n AS (PARTITION BY source ORDER BY time ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING)""",
+    "flag_stats": f"""{_BARS}, f AS (SELECT source, time, close > {_full(f'avg(close) OVER {_w(5)}', 5)} AS f FROM bars), p AS (SELECT *, lag(f) OVER {_BY} AS p FROM f)
+        SELECT source, count(*) FILTER (f) AS "on", count(*) FILTER (NOT f) AS off, count(*) FILTER (f IS NULL) AS missing, count(*) FILTER (f AND NOT p) AS rising, count(*) FILTER (NOT f AND p) AS falling FROM p GROUP BY source""",
+    "flag_overlap": f"""{_BARS}, f AS (SELECT source, close > open AS a, volume >= 3 AS b FROM bars) SELECT source, count(*) FILTER (a AND b) AS "both", count(*) FILTER (a AND NOT b) AS only_a,
+        count(*) FILTER (NOT a AND b) AS only_b, count(*) FILTER (NOT a AND NOT b) AS neither FROM f GROUP BY source""",
+    "export_stats": f"""{_BARS}, f AS (SELECT source, {_full(f'avg(close) OVER {_w(5)}', 5)} AS m FROM bars)
+        SELECT source, count(*) AS samples, count(*) - count(m) AS missing, round(min(m), 3) AS least, round(max(m), 3) AS greatest, round(avg(m), 3) AS mean FROM f GROUP BY source""",
+    "capture": f"""{_BARS}, p AS (SELECT source, lag(close > open) OVER {_BY} AS state, close / lag(close) OVER {_BY} - 1 AS r FROM bars WHERE time % 2592000000 = 0)
+        SELECT source, state, count(*) AS bars, round(exp(sum(ln(1 + r))) - 1, 4) AS compounded FROM p WHERE state IS NOT NULL GROUP BY source, state""",
+    "missing_windows": f"""{_BARS}, w AS (SELECT source, time + 86400000 AS start, lead(time) OVER {_BY} AS "end" FROM bars) SELECT * FROM w WHERE "end" > start""",
+    "event_groups": """WITH t AS (SELECT value - 50 AS pnl, ts, user_id % 40 AS h FROM events), l AS (SELECT pnl, 'weekday' AS key, (isodow(ts) - 1)::VARCHAR AS label FROM t
+        UNION ALL SELECT pnl, 'hour', hour(ts)::VARCHAR FROM t UNION ALL SELECT pnl, 'four_hours', (hour(ts) // 4 * 4)::VARCHAR FROM t
+        UNION ALL SELECT pnl, 'held', CASE WHEN h < 2 THEN '0-1' WHEN h < 6 THEN '2-5' WHEN h < 16 THEN '6-15' WHEN h < 32 THEN '16-31' ELSE '32+' END FROM t)
+        SELECT key, label, count(*) AS trades, count(*) FILTER (pnl > 0) AS gains, round(sum(pnl), 2) AS total, round(avg(pnl), 3) AS mean FROM l GROUP BY key, label""",
+    "maintenance": """SELECT o_orderpriority AS source, round(sum(CASE WHEN o_totalprice < 50000 THEN o_totalprice * 0.004 WHEN o_totalprice < 200000 THEN o_totalprice * 0.005 - 50 ELSE o_totalprice * 0.01 - 1050 END), 2) AS margin FROM orders GROUP BY 1""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from barloom import queries
 from barloom.functions import scalar
-from barloom.operators import analytics, averages, cycle, recursive, simulate, windows
+from barloom.operators import analytics, averages, cycle, evaluate, recursive, simulate, windows
 from barloom.plans import timeline
 from barloom.sources import bars as sources
 
@@ -27,7 +27,7 @@ def by_duckdb(sql):
 
 
 def keyed(df):
-    keys = [c for c in ("source", "time") if c in df.columns]
+    keys = [c for c in ("source", "key", "label", "state", "time", "start", "segment") if c in df.columns]
     return df[sorted(df.columns)].sort_values(keys).reset_index(drop=True)
 
 
@@ -181,6 +181,27 @@ def test_folds_without_sql_give_a_row_for_each_bar(spark):
     assert queries.cycles(spark, SF).count() == n and queries.simulated(spark, SF).count() == 5
 
 
+def test_runs_of_a_grid_equal_single_runs(spark):
+    cols = {"enter": F.col("time") % 240_000 == 0, "leave": F.col("time") % 420_000 == 0, "target": F.lit(None).cast("double")}
+    bars = make(spark, [100 + 10 * c for c in CLOSES]).withColumns(cols)
+    both = evaluate.grid(bars, kind=[1, 2], share=[0.5, 0.98, 0.99]).withColumn("stop", F.col("close") * F.col("share"))
+    got = {(r["kind"], r["share"]): r for r in evaluate.scores(evaluate.simulate_runs(both, "candidate", "kind", "share"), "candidate", "kind", "share").collect()}
+    assert len(got) == 6 and sorted(r["candidate"] for r in got.values()) == list(range(6)) and got[1, 0.98]["candidate"] == 1
+    for share in (0.5, 0.98, 0.99):
+        one = simulate.trades(simulate.simulate(bars.withColumn("stop", F.col("close") * share))).first()
+        assert got[1, share]["ending_equity"] == got[2, share]["ending_equity"] == one["ending_equity"] and got[2, share]["trades"] == one["trades"]
+    top = evaluate.best(spark.createDataFrame(list(got.values())), "total_return", 2).orderBy("rank").collect()
+    assert [r["rank"] for r in top] == [1, 2] and top[0]["ending_equity"] == max(r["ending_equity"] for r in got.values()) and top[0]["candidate"] < 3
+    with pytest.raises(ValueError):
+        evaluate.grid(bars, kind=[])
+
+
+def test_segments_hold_what_the_plain_list_says(spark):
+    rows = evaluate.walk_forward(make(spark, range(23)), 6, 3, 4).select((F.col("time") / 60_000).cast("int"), "segment", "held_out").collect()
+    assert {tuple(r) for r in rows} == {(i, k, i >= test) for k, start, test, end in analytics.segments(23, 6, 3, 4) for i in range(start, end)} and len(rows) == 9 * 4
+    assert evaluate.walk_forward(make(spark, range(8)), 6, 3, 4).count() == 0
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
