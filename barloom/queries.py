@@ -177,10 +177,10 @@ def sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out closes of segments, stitched."""
+    """Held-out closes of segments, stitched; growth is the logarithm of the stitched value over the capital."""
     rows = evaluate.walk_forward(B.order_bars(spark, d).select("source", "time", close().alias("equity")), 30, 10, 10).where("held_out")
     out = evaluate.stitched(rows)
-    return out.select("source", "time", F.col("segment").cast("long"), r(F.col("stitched"), 2).alias("stitched"))
+    return out.select("source", "time", F.col("segment").cast("long"), r(F.log(F.col("stitched") / 10_000)).alias("growth"))
 
 
 def forward_extremes(spark: SparkSession, d: str) -> DataFrame:
@@ -310,7 +310,7 @@ ORACLE_SQL: dict[str, str] = {
         h AS (SELECT i.source, time, close, start // 10 AS segment FROM s JOIN i ON i.source = s.source AND i.i >= start + 30 AND i.i < start + 40),
         e AS (SELECT source, segment, arg_min(close, time) AS a, arg_max(close, time) AS b FROM h GROUP BY ALL),
         k AS (SELECT source, segment, 10000 / a * coalesce(exp(sum(ln(b / a)) OVER (PARTITION BY source ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS k FROM e)
-        SELECT h.source, h.time, h.segment::BIGINT AS segment, round(h.close * k.k, 2) AS stitched FROM h JOIN k ON k.source = h.source AND k.segment = h.segment""",
+        SELECT h.source, h.time, h.segment::BIGINT AS segment, round(ln(h.close * k.k / 10000), 5) AS growth FROM h JOIN k ON k.source = h.source AND k.segment = h.segment""",
     "forward_extremes": f"""{_BARS} SELECT source, time, round(max(high) OVER n / close - 1, 5) AS favorable, round(min(low) OVER n / close - 1, 5) AS adverse
         FROM bars WINDOW n AS (PARTITION BY source ORDER BY time ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING)""",
     "flag_stats": f"""{_BARS}, f AS (SELECT source, time, close > {_full(f'avg(close) OVER {_w(5)}', 5)} AS f FROM bars), p AS (SELECT *, lag(f) OVER {_BY} AS p FROM f)
