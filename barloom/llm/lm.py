@@ -5,8 +5,8 @@ P(class | state) * P(word | class, state). All other words fall into TAILS furth
 such a class, words have smoothed shares of their counts, with a share for unseen words. So the model is a distribution
 over all words, and starts from their plain frequencies.
 
-Training: TRAIN_SHARE of the training texts, taken by hash, whole, are dealt to trainers of about TRAINER_TOKENS tokens,
-so their number grows with the input. Each runs truncated backpropagation over windows of WINDOW tokens, carrying the
+Training: all training texts, whole, are dealt by row to trainers of about TRAINER_TOKENS tokens, so their number grows
+with the input. Each runs truncated backpropagation over windows of WINDOW tokens, carrying the
 state from window to window, with Adagrad; their changes are averaged by Spark in two levels, each row of the tables by how
 often it was used, and ROUNDS rounds follow one another.
 
@@ -34,7 +34,7 @@ from .common import materialize
 HEAD, DICTIONARY = 8_192, 1 << 18
 CLASSES, TAILS, ENDINGS = 64, 32, 256
 HIDDEN, WINDOW, WIDTH = 24, 16, 64
-TRAIN_SHARE, ROUNDS, TRAINER_TOKENS = 16, 2, 500_000
+ROUNDS, TRAINER_TOKENS = 2, 500_000
 #: States scored at once.
 SCORED = 30_000
 RATE, START = 0.15, 1.0  # of Adagrad: the step, and the sum of squares it starts from
@@ -256,7 +256,7 @@ class Fitted:
 
 
 def fit(df: DataFrame, text_col: str = "text", seed: int = 7) -> Fitted:
-    """Counts of all words of df and a network trained on a share of its texts."""
+    """Counts of all words of df and a network trained on all its texts."""
     counts = materialize(count_words(df, text_col), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = [(bytes(r["word"]), r["c"]) for r in _commonest(counts).collect()]  # DICTIONARY rows at most
@@ -290,8 +290,8 @@ def _commonest(counts: DataFrame) -> DataFrame:
 def _train(df: DataFrame, text_col: str, net: Network, n_tokens: int) -> None:
     """ROUNDS rounds of training side by side; net gets the averaged parameters."""
     spark = df.sparkSession
-    trainers = max(1, round(n_tokens / TRAIN_SHARE / TRAINER_TOKENS))
-    sample = df.select(text_col, F.xxhash64(text_col).alias("_h")).where(F.pmod("_h", F.lit(TRAIN_SHARE)) == 0)
+    trainers = max(1, round(n_tokens / TRAINER_TOKENS))
+    texts = df.select(text_col, F.xxhash64(text_col).alias("_h"))
     shared = spark.sparkContext.broadcast(net.voc)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +301,7 @@ def _train(df: DataFrame, text_col: str, net: Network, n_tokens: int) -> None:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.int32()))], ["h", "codes"])
 
     # a hot text is one of many rows of equal h; they are dealt by row, then ordered by h within a trainer
-    rows = sample.mapInArrow(coded, "h long, codes array<int>").withColumn("trainer", F.pmod(F.xxhash64("h", F.monotonically_increasing_id()), F.lit(trainers)).cast("int"))
+    rows = texts.mapInArrow(coded, "h long, codes array<int>").withColumn("trainer", F.pmod(F.xxhash64("h", F.monotonically_increasing_id()), F.lit(trainers)).cast("int"))
     rows = materialize(rows, "coded")
     salts = max(1, math.isqrt(trainers))
     names = list(net.p)

@@ -194,6 +194,15 @@ def test_lm(spark, docs, empty):
     assert lm.score(other, nothing).first().n_known == 0 and lm.score(empty, nothing).count() == 0
 
 
+def test_network_learns_from_every_text(spark):
+    """Each text has words of its own: the gates of all of them have moved."""
+    texts = [f"one{k} two{k} three{k}" for k in range(60)]
+    net = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string")).network
+    start = lm.Network(net.voc, np.ones(len(net.voc.head)), 7).p["x"]
+    moved = (net.p["x"] != start).any(1)
+    assert len(net.voc.head) == 181 and all(moved[k] for k in range(181))
+
+
 def test_network_is_a_distribution_and_its_slopes_are_right():
     counts = [(f"v{k}".encode(), 50 - k) for k in range(40)] + [(lm.END, 9)]
     voc, c = lm.vocabulary(counts, {3: (20, 5)})
