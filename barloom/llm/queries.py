@@ -77,7 +77,7 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and conversion records of all pages."""
     out = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
-    return out.select("page_id", "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "content_length", "block_digest", "payload_digest", F.map_entries("source_headers").cast("string").alias("source_headers"), F.decode("block", "UTF-8").alias("content"))
+    return out.select("page_id", "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "content_length", "block_digest", "payload_digest", F.col("source_headers").cast("string").alias("source_headers"), F.decode("block", "UTF-8").alias("content"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,12 +27,14 @@ from pyspark.sql import types as T
 
 VERSION = "WARC/1.1"
 TEXT = pa.string()
-HEADERS = pa.map_(pa.string(), pa.string())
+HEADERS = pa.list_(pa.struct([("name", TEXT), ("value", TEXT)]))
 RECORD = pa.schema([("record_type", TEXT), ("record_id", TEXT), ("refers_to", TEXT), ("concurrent_to", TEXT), ("target_uri", TEXT), ("date", TEXT), ("content_type", TEXT), ("content_length", pa.int64()), ("block_digest", TEXT), ("payload_digest", TEXT), ("source_headers", HEADERS), ("block", pa.binary())])
-SPARK_RECORD = "record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, source_headers map<string,string>, block binary"
+SPARK_RECORD = "record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, source_headers array<struct<name: string, value: string>>, block binary"
 _UNSEEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|svg)\b.*?</\1\s*>|<head\b.*?</head\s*>|<!doctype[^>]*>")
-_BREAK = re.compile(r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|hr|form|dl|dt|dd)\b[^>]*>")
-_TAG = re.compile(r"<[^>]*>")
+# what follows a tag's name: values in quotes may hold < and >; without them, the tag doesn't run across another <
+_REST = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+>"
+_BREAK = re.compile(r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|hr|form|dl|dt|dd)\b" + _REST)
+_TAG = re.compile(r"<[a-zA-Z/!?]" + _REST)
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title")
 _LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)")
 _LINK = re.compile(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -42,6 +44,10 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _pairs(headers: list[tuple[str, str]]) -> list[dict[str, str]]:
+    return [{"name": k, "value": v} for k, v in headers]
+
+
 def record_id(kind: str, *parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join([kind, *parts]))}>"
 
@@ -53,18 +59,18 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def split_block(block: bytes) -> tuple[dict[str, str], bytes]:
-    """The HTTP headers and the payload of a response block."""
+def split_block(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """The HTTP headers, repeated ones too, and the payload of a response block."""
     head, _, payload = block.partition(b"\r\n\r\n")
     pairs = (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])
-    return {k.strip(): v.strip() for k, _, v in pairs if k}, payload
+    return [(k.strip(), v.strip()) for k, _, v in pairs if k], payload
 
 
 def _response(url: str | None, page: str | None, date: str) -> dict:
     payload = (page or "").encode()
-    headers = {"Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(payload))}
-    block = ("HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()) + "\r\n").encode() + payload
-    out = {"record_type": "response", "refers_to": None, "concurrent_to": None, "target_uri": url or "", "date": date, "content_type": "application/http; msgtype=response", "content_length": len(block), "block_digest": digest(block), "payload_digest": digest(payload), "source_headers": list(headers.items()), "block": block}
+    headers = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))]
+    block = ("HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n").encode() + payload
+    out = {"record_type": "response", "refers_to": None, "concurrent_to": None, "target_uri": url or "", "date": date, "content_type": "application/http; msgtype=response", "content_length": len(block), "block_digest": digest(block), "payload_digest": digest(payload), "source_headers": _pairs(headers), "block": block}
     return out | {"record_id": record_id("response", out["target_uri"], date, out["block_digest"])}
 
 
@@ -74,7 +80,7 @@ def _derived(r: dict) -> list[dict]:
     ids = {k: record_id(k, r["record_id"] or "") for k in ("metadata", "conversion")}
     title, lang = _TITLE.search(page), _LANG.search(page)
     fields = [("title", " ".join(entities.unescape(title[1]).split()) if title else ""), ("languages", lang[1].lower() if lang else ""), ("source-payload-digest", r["payload_digest"] or "")]
-    fields += [(f"source-header-{k.lower()}", v) for k, v in headers.items()]
+    fields += [(f"source-header-{k.lower()}", v) for k, v in headers]
     for m in _LINK.finditer(page):
         link = " ".join(entities.unescape(m[1] or m[2] or m[3] or "").split())
         try:
@@ -85,7 +91,7 @@ def _derived(r: dict) -> list[dict]:
     out = []
     for kind, (content_type, block) in blocks.items():
         other = ids["conversion" if kind == "metadata" else "metadata"]
-        out.append({"record_type": kind, "record_id": ids[kind], "refers_to": r["record_id"], "concurrent_to": other, "target_uri": r["target_uri"], "date": r["date"], "content_type": content_type, "content_length": len(block), "block_digest": digest(block), "payload_digest": r["payload_digest"], "source_headers": list(headers.items()), "block": block})
+        out.append({"record_type": kind, "record_id": ids[kind], "refers_to": r["record_id"], "concurrent_to": other, "target_uri": r["target_uri"], "date": r["date"], "content_type": content_type, "content_length": len(block), "block_digest": digest(block), "payload_digest": r["payload_digest"], "source_headers": _pairs(headers), "block": block})
     return out
 
 

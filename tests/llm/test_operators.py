@@ -305,6 +305,21 @@ def test_warc(spark):
     assert warc.derive(warc.responses(df.limit(0))).count() == 0
 
 
+def test_warc_text_keeps_what_is_no_tag():
+    assert warc.plain_text("<p>a < b</p><p>I <3 you</p><div title='x > y'>if c<d: <b class=\"<q>\">bold</b> e > f</div>") == "a < b\nI <3 you\nif c<d: bold e > f"
+    assert warc.plain_text("<p>one <b two</p>three <i don't>it's</i><br/>4<5<!-- <p> --><hr>end") == "one <b two\nthree it's\n4<5\nend"
+
+
+def test_warc_keeps_repeated_headers(spark):
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: text/html\r\nSet-Cookie: b=2\r\n\r\n<p>x</p>"
+    resp = warc.responses(spark.createDataFrame([(1, "http://a.example/", "")], "page_id long, url string, html string")).withColumn("block", F.lit(block))
+    want = [("Set-Cookie", "a=1"), ("Content-Type", "text/html"), ("Set-Cookie", "b=2")]
+    for r in warc.derive(resp).collect():
+        assert [tuple(x) for x in r.source_headers] == want
+        if r.record_type == "metadata":
+            assert b"source-header-set-cookie: a=1\r\n" in bytes(r.block) and b"source-header-set-cookie: b=2\r\n" in bytes(r.block)
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
