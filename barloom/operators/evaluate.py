@@ -94,9 +94,10 @@ def exit_keys(time: Column, held: Column) -> dict[str, Column]:
 
 
 def capture(df: DataFrame, state: Column, value: str = "close") -> DataFrame:
-    """By source and state at the bar before: bars and their returns compounded. NULL states and first bars count nowhere."""
+    """By source and state at the bar before: bars, their returns compounded, and the logarithm of that as growth. NULL states and first bars count nowhere."""
     rows = df.select("source", F.lag(state).over(by()).alias("state"), (F.col(value) / F.nullif(F.lag(value).over(by()), F.lit(0.0)) - 1).alias("r")).where("state is not null")
-    return rows.groupBy("source", "state").agg(F.count("*").alias("bars"), (F.exp(F.sum(F.when(F.col("r") > -1, F.log1p("r")))) - 1).alias("compounded"))
+    growth = F.sum(F.when(F.col("r") > -1, F.log1p("r")))
+    return rows.groupBy("source", "state").agg(F.count("*").alias("bars"), growth.alias("growth"), (F.exp(growth) - 1).alias("compounded"))
 
 
 def flag_stats(df: DataFrame, flag: Column) -> DataFrame:

@@ -205,6 +205,11 @@ def capture(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.capture(bars, close() > F.col("open")).select("source", "state", "bars", r(F.col("compounded"), 4).alias("compounded"))
 
 
+def capture_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Every bar of orders by its state at the bar before; growth is the logarithm of the compounded returns."""
+    return evaluate.capture(B.order_bars(spark, d), close() > F.col("open")).select("source", "state", "bars", r(F.col("growth")).alias("growth"))
+
+
 def missing_windows(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.missing_windows(B.order_bars(spark, d), B.FIXED_MS["1d"])
 
@@ -223,7 +228,7 @@ def maintenance(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (daily_sma_cross, weekly_bars, rolling, regression, rates, prices, oscillators, event_memory, venue_choice, venue_ranks, aligned, three_day_view, alignment_report, recursive_set, ema_series, bands, event_history, stochastics, cycles, simulated, drawdowns, forward, hourly_event_bars, sweep, walk_forward, forward_extremes, flag_stats, flag_overlap, export_stats, capture, missing_windows, event_groups, maintenance)
+    f.__name__: f for f in (daily_sma_cross, weekly_bars, rolling, regression, rates, prices, oscillators, event_memory, venue_choice, venue_ranks, aligned, three_day_view, alignment_report, recursive_set, ema_series, bands, event_history, stochastics, cycles, simulated, drawdowns, forward, hourly_event_bars, sweep, walk_forward, forward_extremes, flag_stats, flag_overlap, export_stats, capture, capture_daily, missing_windows, event_groups, maintenance)
 }
 
 _BARS = """WITH RECURSIVE bars AS (
@@ -321,6 +326,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT source, count(*) AS samples, count(*) - count(m) AS missing, round(min(m), 3) AS least, round(max(m), 3) AS greatest, round(avg(m), 3) AS mean FROM f GROUP BY source""",
     "capture": f"""{_BARS}, p AS (SELECT source, lag(close > open) OVER {_BY} AS state, close / lag(close) OVER {_BY} - 1 AS r FROM bars WHERE time % 2592000000 = 0)
         SELECT source, state, count(*) AS bars, round(exp(sum(ln(1 + r))) - 1, 4) AS compounded FROM p WHERE state IS NOT NULL GROUP BY source, state""",
+    "capture_daily": f"""{_BARS}, p AS (SELECT source, lag(close > open) OVER {_BY} AS state, close / lag(close) OVER {_BY} - 1 AS r FROM bars)
+        SELECT source, state, count(*) AS bars, round(sum(ln(1 + r)), 5) AS growth FROM p WHERE state IS NOT NULL GROUP BY source, state""",
     "missing_windows": f"""{_BARS}, w AS (SELECT source, time + 86400000 AS start, lead(time) OVER {_BY} AS "end" FROM bars) SELECT * FROM w WHERE "end" > start""",
     "event_groups": """WITH t AS (SELECT value - 50 AS pnl, ts, user_id % 40 AS h FROM events), l AS (SELECT pnl, 'weekday' AS key, (isodow(ts) - 1)::VARCHAR AS label FROM t
         UNION ALL SELECT pnl, 'hour', hour(ts)::VARCHAR FROM t UNION ALL SELECT pnl, 'four_hours', (hour(ts) // 4 * 4)::VARCHAR FROM t

@@ -205,3 +205,10 @@ def test_segments_hold_what_the_plain_list_says(spark):
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_capture_reads_every_bar(spark):
+    bars = queries.B.order_bars(spark, SF)
+    want = bars.count() - bars.select("source").distinct().count()
+    assert sum(r.bars for r in queries.QUERIES["capture_daily"](spark, SF).collect()) == want
