@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,19 +21,40 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):  # local-cluster has executors with folders of their own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{sc.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+class _Open(threading.local):
+    def __init__(self) -> None:
+        self.tables: list[list[DataFrame]] = []
+
+
+_open = _Open()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at its end, the tables written within it; those to keep pass to the scratch around it, if there is one."""
+    _open.tables.append([])
+    try:
+        yield
+    finally:
+        for df in _open.tables.pop():
+            drop_table(df)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a table written to the shared folder: its lineage is cut, and it survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
+    for tables in _open.tables[-2:-1] if keep else _open.tables[-1:]:
+        tables.append(out)
     return out
 
 

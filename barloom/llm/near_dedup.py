@@ -7,13 +7,17 @@ whole sequence is one shingle. Documents are linked if 100 * intersection >= 75
    gets the least of j + a uniform draw. Ranks of a shingle are all different, which lowers the variance, and a document
    stops at the first rank after which all its slots are filled. ROWS slots make a band: at a similarity of 0.75, a pair
    shares none of BANDS bands with a chance of 1e-5, and unlike pairs rarely share one.
-2. Documents with equal sets are one node. Bands of the nodes are aggregated to buckets; buckets with the same members
-   count once.
-3. Buckets never emit all pairs: each member is checked against its bucket's first node, then, in buckets that still hold
-   several components, against its last node, and at last against the members of other components only. Those whose
-   shingles are too often found in no other such member can't be linked and are left out; the rest are confirmed within
-   the join. So every pair of a bucket is in one component, has been checked or is ruled out, whatever the bucket's size.
-4. Pairs are confirmed on the full sets (64-bit hashes of shingles), read again only for documents in buckets.
+2. Documents with equal sets are one node. Bands are taken in WAVES. Those of a wave are aggregated to buckets with the
+   least and the largest component found so far, and a bucket that lies in one component goes before any join: a large group
+   of near copies is united by the first wave's round and doesn't show up in the next wave. Buckets with the same members count once.
+3. Buckets never emit all pairs. In the first round each member is checked against its bucket's first node; in further
+   rounds (of the last wave), members of buckets that still hold several components are dealt anew into parts of PART members, each with a
+   pivot of its own. So a round checks at most one pair for each member of a bucket. Rounds go on while they link much.
+4. What is still open after all waves is joined exactly: a node's shingles are ordered from rare to frequent, those that no
+   other open component has first, and two sets that are similar enough share one so early that enough follow it in both.
+   Sizes and places bound the overlap, so a passage that many texts share makes no candidates where it can't make links.
+   Links are reduced to forests within tasks. Every pair of a bucket is in one component, was checked or is ruled out.
+5. Pairs are confirmed on the full sets (64-bit hashes of shingles), read again only for documents in open buckets.
 
 Null or empty text, or white space only: an empty set (n_shingles 0), linked with nothing. A null id is linked with nothing.
 Rows that share an id share a component. An empty table gives an empty result. Other columns aren't read.
@@ -21,6 +25,7 @@ Rows that share an id share a component. An empty table gives an empty result. O
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +33,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import bloom
-from .common import materialize, spread
-from .components import components
+from .common import materialize, scratch, spread
+from .components import components, united
 
 BANDS, ROWS = 80, 7
+#: Bands of each wave; they add up to BANDS.
+WAVES = (16, 64)
+#: Members of a part of a bucket in later rounds, and the share of pairs that a round must link for another one to follow.
+PART, WORTH = 8, 0.05
 SLOTS = BANDS * ROWS
 SHINGLE = 5
 #: Shingles sketched at once.
@@ -179,65 +189,110 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (na + nb - common)).select("a", "b")
 
 
-def _shareable(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of each node in rows: n, the size of its set, and s, how many of its shingles any other node in rows has too."""
-    own = sets.join(spread(rows.select(F.col("node").alias("id")).distinct()), "id").dropDuplicates(["id"])
-    alone = own.select("id", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("id").alias("_node"), F.count("*").alias("k")).where("k = 1")
-    alone = alone.groupBy("_node").agg(F.count("*").alias("u"))
-    sizes = own.select(F.col("id").alias("_node"), F.size("shingles").alias("n")).join(alone, "_node", "left")
-    return sizes.select("_node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+def _members(reps: DataFrame, wave: int, known: DataFrame | None) -> DataFrame:
+    """(key, node, c) of the nodes in buckets of the wave that hold several components."""
+    coloured = reps.select("node", F.col(f"keys{wave}").alias("keys"))
+    if known is None:
+        coloured = coloured.withColumn("c", F.col("node"))
+    else:  # only nodes that have links are shuffled
+        tested = bloom.test(coloured, "node", bloom.written(bloom.filter_of, known, "id"), "_maybe")
+        linked = tested.where("_maybe").join(spread(known), F.col("node") == F.col("id"), "left")
+        coloured = tested.where(~F.col("_maybe")).select("node", "keys", F.col("node").alias("c")).union(linked.select("node", "keys", F.coalesce("component", "node")))
+    bands = coloured.select("node", "c", F.explode("keys").alias("key"))
+    buckets = bands.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("members")).where("c1 < c2")
+    buckets = materialize(buckets.groupBy("c1", "c2", "k", "members").agg(F.min("key").alias("key")).select("key"), "buckets")
+    inside = bloom.test(bands, "key", bloom.written(bloom.filter_of, buckets, "key"), "_maybe").where("_maybe").drop("_maybe")
+    return materialize(inside.join(spread(buckets), "key").select("key", "node", "c"), "members")
+
+
+def _recoloured(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (key, node, c) with the components of now, of buckets that still hold several; k is a bucket's size."""
+    now = rows.drop("c").join(known, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    now = materialize(now, "coloured")
+    several = now.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("k")).where("c1 < c2").select("key", "k")
+    return now.join(spread(several), "key")
+
+
+def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b) at most for each row: its part's pivot and itself, if they are of two components."""
+    part = F.lit(0) if not turn else F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("k") / PART))
+    rows = rows.select("key", "node", "c", part.alias("part"))
+    pivots = rows.groupBy("key", "part").agg(F.min(F.struct("node", "c")).alias("p")).select("key", "part", F.col("p.node").alias("a"), F.col("p.c").alias("d"))
+    return rows.join(spread(pivots), ["key", "part"]).where("c <> d").select("a", F.col("node").alias("b")).distinct()
+
+
+def _rounds(rows: DataFrame, sets: DataFrame, known: DataFrame | None, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """The components after one round of star_pairs, or in the last wave after several, and (node) of buckets that still hold several."""
+    turn = 0
+    while True:
+        pairs = materialize(star_pairs(rows, turn), "pairs")
+        links = materialize(_linked(pairs, sets, percent), "confirmed")
+        n, checked = links.count(), pairs.count()
+        if n or known is None:
+            known = components(links if known is None else known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+        rows = materialize(_recoloured(rows, known), "open")
+        turn += 1
+        if not last or n < WORTH * checked or not n:
+            return known, rows.select("node").distinct()
+
+
+def exact_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), as forests within tasks, between the similar nodes of rows (node, c) that are of two components."""
+    own = rows.join(sets, F.col("node") == F.col("id")).select(F.xxhash64("node", "shingles").alias("row"), "node", "c", F.size("shingles").alias("n"), "shingles")
+    own = materialize(own.dropDuplicates(["row"]), "candidates")  # rows that share an id may have several sets
+
+    def useful(of: DataFrame) -> DataFrame:
+        """Shingles that several components have, with how many nodes have them."""
+        each = of.select("c", F.explode("shingles").alias("x"))
+        return spread(each.groupBy("x").agg(F.count("*").alias("k"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("x", "k"))
+
+    # first only how many useful shingles a node has: most nodes can be ruled out by that
+    shared = own.select("row", F.explode("shingles").alias("x")).join(useful(own), "x", "left_semi").groupBy("row").agg(F.count("*").alias("s"))
+    able = materialize(own.join(shared, "row").where(100 * F.col("s") >= percent * F.col("n")).drop("s"), "able")
+    places = able.select("row", "node", "c", "n", F.explode("shingles").alias("x")).join(useful(able), "x")
+    by = Window.partitionBy("row")
+    # left: useful shingles from this one on; an overlap that starts here can't be larger
+    left = F.count("*").over(by) - F.row_number().over(by.orderBy("k", "x")) + 1
+    places = places.withColumn("left", left).where(100 * F.col("left") >= percent * F.col("n"))
+    places = places.select("x", "node", "c", "n", F.expr(f"({100 + percent} * left - {percent} * n) div {percent}").alias("most"))
+    places = materialize(places, "places")  # most: the largest set that this overlap is enough for
+    bounds = places.groupBy("x").agg(F.min("n").alias("n0"), F.max("most").alias("m1"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2")
+    places = materialize(places.join(spread(bounds), "x").where("most >= n0 and n <= m1").select("x", "node", "c", "n", "most"), "places")
+    a, b = (places.select("x", *[F.col(k).alias(f"{k}_{z}") for k in ("node", "c", "n", "most")]) for z in "ab")
+    pairs = a.join(spread(b), "x").where("c_a < c_b and n_b <= most_a and n_a <= most_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    links = _linked(pairs, able.select(F.col("node").alias("id"), "shingles"), percent)
+    return links.mapInPandas(united, "a long, b long")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """id_col, n_shingles, component_id (the least id that links reach) and kept (it is its own), one row for each row."""
-    seen = materialize(sketches(df, id_col, text_col), "sketches")
-    usable = seen.where("f1 is not null and id is not null")
-    groups = spread(usable.groupBy("f1", "f2").agg(F.min("id").alias("node")))
-    nodes = materialize(usable.join(groups, ["f1", "f2"]).select("id", "node", F.when(F.col("id") == F.col("node"), F.col("keys")).alias("keys")), "nodes")
-    bands = nodes.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    # buckets of two nodes or more; of those with the same members, one
-    buckets = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("lo < hi")
-    buckets = materialize(buckets.groupBy("lo", "hi", "n", "members").agg(F.min("key").alias("key")).select("key", "lo", "hi", "n"), "buckets")
-    n_buckets = buckets.count()
-    found = bloom.filter_of(buckets, "key", n_buckets)
-    found = materialize(found[0], "bucket-filter"), found[1]
-    inside = bloom.test(bands, "key", found, "_maybe").where("_maybe").select("key", "node")
-    inside = materialize(inside.join(spread(buckets), "key").select("key", "node", "lo", "hi"), "members")
-
-    members = inside.select(F.col("node").alias("id")).distinct()
-    wanted = bloom.filter_of(members, "id", members.count())
-    wanted = materialize(wanted[0], "member-filter"), wanted[1]
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = shingle_sets(bloom.test(texts, "id", wanted, "_maybe").where("_maybe"), "id", "text")
-    sets = materialize(sets.where("id is not null"), "sets")
-
-    known = None  # components so far
-    for turn in ("lo", "hi", "rest"):
-        rows = inside
-        if known is not None:
-            rows = inside.join(known, F.col("node") == F.col("id"), "left").select("key", "node", "lo", "hi", F.coalesce("component", "node").alias("c"))
-            rows = materialize(rows, "coloured")
-            several = rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-            rows = rows.join(spread(several), "key")
-        else:
-            rows = rows.withColumn("c", F.col("node"))
-        if turn == "rest":
-            rows = rows.join(_shareable(sets, rows), F.col("node") == F.col("_node")).where(100 * F.col("s") >= percent * F.col("n"))
-            rows = materialize(rows.join(sets.dropDuplicates(["id"]), F.col("node") == F.col("id")), "open")
-            a, b = (rows.select("key", *[F.col(k).alias(f"{k}_{x}") for k in ("node", "c", "n", "s", "shingles")]) for x in "ab")
-            most, common = F.least("s_a", "s_b"), F.size(F.array_intersect("shingles_a", "shingles_b"))
-            able, similar = (100 * m >= percent * (F.col("n_a") + F.col("n_b") - m) for m in (most, common))
-            # the join's condition confirms pairs, so that it makes only links
-            links = a.join(b, (a["key"] == b["key"]) & (F.col("c_a") < F.col("c_b")) & F.when(able, similar)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        else:
-            pairs = rows.where(F.col("node") != F.col(turn)).select(F.col(turn).alias("a"), F.col("node").alias("b"))
-            links = _linked(pairs.distinct(), sets, percent)
-        links = materialize(links, "confirmed")
-        if known is not None:
-            links = known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)
-        known = components(links)
-    ids = nodes.select("id", "node").distinct()
-    placed = ids.join(known.withColumnRenamed("id", "node"), "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
-    out = seen.select("id", "n_shingles").join(placed, "id", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    with scratch():
+        seen = materialize(sketches(df, id_col, text_col), "sketches")
+        usable = seen.where("f1 is not null and id is not null")
+        groups = spread(usable.groupBy("f1", "f2").agg(F.min("id").alias("node")))
+        first = F.col("id") == F.col("node")
+        cuts = [1 + sum(WAVES[:w]) for w in range(len(WAVES))]
+        slices = [F.when(first, F.slice("keys", cut, size)).alias(f"keys{w}") for w, (cut, size) in enumerate(zip(cuts, WAVES, strict=True))]
+        nodes = materialize(usable.join(groups, ["f1", "f2"]).select("id", "node", *slices), "nodes")
+        reps = nodes.where("keys0 is not null").drop("id")
+        texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+        sets, known, rest = None, None, []
+        for wave in range(len(WAVES)):
+            inside = _members(reps, wave, known)
+            new = inside.select(F.col("node").alias("id")).distinct()
+            new = materialize(new if sets is None else new.join(sets.select("id"), "id", "left_anti"), "new")
+            wanted = bloom.test(texts, "id", bloom.written(bloom.filter_of, new, "id"), "_maybe").where("_maybe")
+            more = materialize(shingle_sets(wanted, "id", "text"), "sets")
+            sets = more if sets is None else sets.union(more)
+            known, open_ = _rounds(inside, sets, known, percent, wave == len(WAVES) - 1)
+            rest.append(open_)
+        left = functools.reduce(DataFrame.union, rest).distinct()
+        left = left.join(known, F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", "node").alias("c"))
+        links = materialize(exact_links(left, sets, percent), "links")
+        if not links.isEmpty():
+            known = components(known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+        placed = nodes.select("id", "node").distinct().join(known.withColumnRenamed("id", "node"), "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
+        out = seen.select("id", "n_shingles").join(placed, "id", "left")
+        component = F.coalesce("component_id", "id")
+        out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+        return materialize(out, "components", keep=True)
