@@ -30,14 +30,108 @@ TEXT = pa.string()
 HEADERS = pa.list_(pa.struct([("name", TEXT), ("value", TEXT)]))
 RECORD = pa.schema([("record_type", TEXT), ("record_id", TEXT), ("refers_to", TEXT), ("concurrent_to", TEXT), ("target_uri", TEXT), ("date", TEXT), ("content_type", TEXT), ("content_length", pa.int64()), ("block_digest", TEXT), ("payload_digest", TEXT), ("source_headers", HEADERS), ("block", pa.binary())])
 SPARK_RECORD = "record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, source_headers array<struct<name: string, value: string>>, block binary"
-_UNSEEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|svg)\b.*?</\1\s*>|<head\b.*?</head\s*>|<!doctype[^>]*>")
-# what follows a tag's name: values in quotes may hold < and >; without them, the tag doesn't run across another <
-_REST = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+>"
-_BREAK = re.compile(r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|hr|form|dl|dt|dd)\b" + _REST)
-_TAG = re.compile(r"<[a-zA-Z/!?]" + _REST)
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)")
-_LINK = re.compile(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+_STOP = re.compile(r"[<>=]")
+_QUOTE = re.compile(r"\s*([\"'])")
+_HREF, _LANG = (re.compile(rf"(?i)\b{k}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))") for k in ("href", "lang"))
+# Elements whose content isn't markup, those that readers don't see, and those that start a line.
+RAW = {"script", "style"}
+HIDDEN = {"noscript", "template", "svg", "head"}
+BLOCKS = {"p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "nav", "main", "aside", "blockquote", "pre", "hr", "form", "dl", "dt", "dd"}
+_CLOSING = {k: re.compile(rf"(?i)</{k}\s*>") for k in RAW | HIDDEN} | {"title": re.compile("(?i)</title")}
+
+
+class Page:
+    """Text, title, language and links of a page, read in one forward pass.
+
+    A tag starts where a letter, /, ! or ? follows <, ends at the next > outside quotes, and doesn't run across another <
+    outside quotes; anything else is text. What has no end mark is looked for once only, and a place from which no tag
+    ends isn't tried again, so the time is linear in the length of the page, whatever it holds.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.text: list[str] = []
+        self.links: list[str] = []
+        self.title = self.lang = None
+        self.absent: set[str] = set()
+        self.dead: set[int] = set()
+        self._read()
+
+    def _find(self, mark: str, at: int) -> int:
+        """Where mark is next; -1 if nowhere from here on, which is remembered."""
+        if mark in self.absent:
+            return -1
+        k = self.page.find(mark, at)
+        if k < 0:
+            self.absent.add(mark)
+        return k
+
+    def _closing(self, name: str, at: int) -> re.Match | None:
+        if f"/{name}" in self.absent:
+            return None
+        m = _CLOSING[name].search(self.page, at)
+        if m is None:
+            self.absent.add(f"/{name}")
+        return m
+
+    def _tag_end(self, at: int) -> int:
+        """The end of the tag that starts at a place, or -1. In a value in quotes, < and > count for nothing."""
+        seen, at = [], at + 2
+        while m := _STOP.search(self.page, at):
+            k = m.start()
+            if m[0] == ">":
+                return k + 1
+            if m[0] == "<" or k in self.dead:
+                break
+            seen.append(k)
+            quote = _QUOTE.match(self.page, k + 1)
+            end = self._find(quote[1], quote.end()) if quote else -1
+            at = end + 1 if end >= 0 else k + 1
+        self.dead.update(seen)
+        return -1
+
+    def _read(self) -> None:
+        page, at, hidden, plain = self.page, 0, 0, 0  # hidden: nothing before this place is seen; plain: start of the text at hand
+
+        def say(to: int, then: str) -> None:
+            if plain < to and to > hidden:
+                self.text.append(page[max(plain, hidden) : to])
+            if to >= hidden:
+                self.text.append(then)
+
+        while (k := page.find("<", at)) >= 0:
+            at = k + 1
+            mark = page[k + 1 : k + 2]
+            if page.startswith("<!--", k) and (end := self._find("-->", k + 4)) >= 0:
+                say(k, " ")
+                at = plain = end + 3
+                continue
+            if not (mark.isascii() and mark.isalpha()) and mark not in ("/", "!", "?"):
+                continue
+            name = _NAME.match(page, k)
+            name = name[1].lower() if name else ""
+            if mark != "/" and name in RAW | HIDDEN and (close := self._closing(name, k)):
+                say(k, " ")
+                if name in RAW:
+                    at = plain = close.end()
+                    continue
+                hidden = max(hidden, close.end())
+            end = self._tag_end(k)
+            if end < 0:
+                continue
+            if name not in HIDDEN or mark == "/":
+                say(k, "\n" if name in BLOCKS else "")
+            at = plain = end
+            if mark == "/":
+                continue
+            if name == "a" and (m := _HREF.search(page, k, end)):
+                self.links.append(m[1] or m[2] or m[3] or "")
+            elif name == "html" and self.lang is None and (m := _LANG.search(page, k, end)):
+                self.lang = m[1] or m[2] or m[3]
+            elif name == "title" and self.title is None and (close := self._closing("title", end)):
+                self.title = page[end : close.start()]
+        say(len(page), "")
 
 
 def digest(data: bytes) -> str:
@@ -52,9 +146,9 @@ def record_id(kind: str, *parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join([kind, *parts]))}>"
 
 
-def plain_text(page: str) -> str:
+def plain_text(page: str | Page) -> str:
     """What a reader sees of a page, a block a line."""
-    body = _TAG.sub("", _BREAK.sub("\n", _UNSEEN.sub(" ", page)))
+    body = "".join((Page(page) if isinstance(page, str) else page).text)
     lines = (" ".join(x.split()) for x in entities.unescape(body).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -76,13 +170,12 @@ def _response(url: str | None, page: str | None, date: str) -> dict:
 
 def _derived(r: dict) -> list[dict]:
     headers, payload = split_block(r["block"] or b"")
-    page = payload.decode("utf-8", "replace")
+    page = Page(payload.decode("utf-8", "replace"))
     ids = {k: record_id(k, r["record_id"] or "") for k in ("metadata", "conversion")}
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    fields = [("title", " ".join(entities.unescape(title[1]).split()) if title else ""), ("languages", lang[1].lower() if lang else ""), ("source-payload-digest", r["payload_digest"] or "")]
+    fields = [("title", " ".join(entities.unescape(page.title or "").split())), ("languages", (page.lang or "").lower()), ("source-payload-digest", r["payload_digest"] or "")]
     fields += [(f"source-header-{k.lower()}", v) for k, v in headers]
-    for m in _LINK.finditer(page):
-        link = " ".join(entities.unescape(m[1] or m[2] or m[3] or "").split())
+    for link in page.links:
+        link = " ".join(entities.unescape(link).split())
         try:
             fields.append(("outlink", urljoin(r["target_uri"] or "", link)))
         except ValueError:  # an address that can't be resolved stays as it is
