@@ -5,14 +5,16 @@ P(class | state) * P(word | class, state). All other words fall into TAILS furth
 such a class, words have smoothed shares of their counts, with a share for unseen words. So the model is a distribution
 over all words, and starts from their plain frequencies.
 
-Training: all training texts, whole, are dealt by row to trainers of about TRAINER_TOKENS tokens, so their number grows
-with the input. Each runs truncated backpropagation over windows of WINDOW tokens, carrying the
-state from window to window, with Adagrad; their changes are averaged by Spark in two levels, each row of the tables by how
-often it was used, and ROUNDS rounds follow one another.
+Training: all training texts, whole, are dealt by a hash of id and text to trainers of about TRAINER_TOKENS tokens, so their
+number grows with the input and reruns agree (of rows equal in both, a task sends TOGETHER to one trainer, then goes on to
+the next). Each trainer runs truncated backpropagation over windows of WINDOW tokens, WIDTH parts of its stream of documents
+side by side, carrying the state from window to window, with Adagrad. Their changes are averaged in a reduction tree of
+fan-in FAN_IN, each row of the tables by how often it was used.
 
 Scoring: documents of a batch run in step, the state carried across windows to the end of each whole text. Counts of the
 DICTIONARY commonest words are broadcast (the bound on it); rarer words are joined with their counts, and being rare, none
-of them is a hot key. Null and empty texts have one token, the end. An empty table gives an empty result.
+of them is a hot key. Null and empty texts have one token, the end. Null ids and repeated rows are rows like others. An empty table
+gives an empty result. The input's other columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,14 +33,17 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-HEAD, DICTIONARY = 8_192, 1 << 18
-CLASSES, TAILS, ENDINGS = 64, 32, 256
-HIDDEN, WINDOW, WIDTH = 24, 16, 64
-ROUNDS, TRAINER_TOKENS = 2, 500_000
+HEAD, DICTIONARY = 4_096, 1 << 18
+CLASSES, TAILS, ENDINGS = 32, 32, 256
+HIDDEN, WINDOW, WIDTH = 16, 32, 512
+TRAINER_TOKENS = 3_000_000
+#: Slices of the averaged tables, how many of a slice meet in a task, and rows of one id and text that a task sends to one trainer.
+PARTS, FAN_IN, TOGETHER = 8, 32, 64
 #: States scored at once.
 SCORED = 30_000
 RATE, START = 0.15, 1.0  # of Adagrad: the step, and the sum of squares it starts from
 END = b""
+HALF, ONE = np.float32(0.5), np.float32(1)
 LOG10 = math.log(10)
 
 
@@ -89,29 +94,40 @@ class Network:
         inside = head_counts / np.repeat(mass[:n_class], np.diff(voc.first))
         self.p = {
             "x": rng.normal(0, 0.3, (voc.n_codes, 3 * h)), "u": rng.normal(0, 0.4 / math.sqrt(h), (h, 3 * h)), "b": np.r_[np.full(h, 1.0), np.zeros(2 * h)][None],
-            "c": np.zeros((h, n_class + TAILS)), "cb": np.log(mass / mass.sum())[None], "w": np.zeros((len(voc.head), h)), "wb": np.log(inside)[:, None],
+            "c": rng.normal(0, 0.02, (h, n_class + TAILS)), "cb": np.log(mass / mass.sum())[None], "w": rng.normal(0, 0.02, (len(voc.head), h)), "wb": np.log(inside)[:, None],
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.class_of = np.r_[np.repeat(np.arange(n_class), np.diff(voc.first)), n_class + np.arange(ENDINGS) % TAILS]
 
-    def step(self, code: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        p, n = self.p, HIDDEN
-        g, s = p["x"][code] + p["b"], h @ p["u"]
-        zr = 1 / (1 + np.exp(-(g[:, : 2 * n] + s[:, : 2 * n])))
-        z, r = zr[:, :n], zr[:, n:]
-        new = np.tanh(g[:, 2 * n :] + r * s[:, 2 * n :])
-        return new + z * (h - new), z, r, new, s[:, 2 * n :]
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after inputs x (rows of the gates' table with the bias added), with the gates and their parts."""
+        n = HIDDEN
+        s = h @ self.p["u"]
+        zr = x[:, : 2 * n] + s[:, : 2 * n]
+        zr *= HALF  # a sigmoid by way of tanh
+        np.tanh(zr, out=zr)
+        zr += ONE
+        zr *= HALF
+        z, r, own = zr[:, :n], zr[:, n:], s[:, 2 * n :]
+        new = np.tanh(x[:, 2 * n :] + r * own)
+        return new + z * (h - new), z, r, new, own
+
+    def _exp(self, logits: np.ndarray, bound: float) -> np.ndarray:
+        """The exponential in place; where weights are so large that it could overflow, of differences from the largest."""
+        if bound > 60:
+            logits -= logits.max(1, keepdims=True)
+        return np.exp(logits, out=logits)
 
     def log_probability(self, h: np.ndarray, code: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Of the next codes, by state (natural logarithm; a word of the tail as its class). With grads: also the slope of the loss by state."""
         p, head = self.p, len(self.voc.head)
         cls = self.class_of[code]
-        logits = h @ p["c"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
         rows = np.arange(len(h))
-        out = logits[rows, cls] - np.log(total)
+        e = h @ p["c"]
+        e += p["cb"]
+        e = self._exp(e, float((np.abs(p["c"]).sum(0) + np.abs(p["cb"][0])).max()))  # states lie within -1 and 1
+        total = e.sum(1)
+        out = np.log(e[rows, cls] / total)
         dh = None
         if grads is not None:
             e /= total[:, None]
@@ -119,21 +135,28 @@ class Network:
             grads["c"], grads["cb"] = h.T @ e, e.sum(0)[None]
             dh = e @ p["c"].T
         known = np.flatnonzero(code < head)
-        known = known[np.argsort(cls[known], kind="stable")]
-        cuts = np.searchsorted(cls[known], np.arange(len(self.voc.first)))
+        known = known[np.argsort(code[known], kind="stable")]  # codes of a class follow one another
+        of, states = code[known], h[known]
+        cuts = np.searchsorted(of, self.voc.first)
+        bounds = np.abs(p["w"]).sum(1) + np.abs(p["wb"][:, 0])
+        inside, back = np.empty(len(known), np.float32), np.empty_like(states) if grads is not None else None
         for k in np.flatnonzero(np.diff(cuts)):
-            at = known[cuts[k] : cuts[k + 1]]
+            i, j = cuts[k], cuts[k + 1]
             lo, hi = self.voc.first[k], self.voc.first[k + 1]
-            inner = h[at] @ p["w"][lo:hi].T + p["wb"][lo:hi, 0]
-            inner -= inner.max(1, keepdims=True)
-            e = np.exp(inner)
-            total, rows = e.sum(1), np.arange(len(at))
-            out[at] += inner[rows, code[at] - lo] - np.log(total)
+            w, at, rows = p["w"][lo:hi], states[i:j], np.arange(j - i)
+            e = at @ w.T
+            e += p["wb"][lo:hi, 0]
+            e = self._exp(e, float(bounds[lo:hi].max()))
+            total = e.sum(1)
+            inside[i:j] = e[rows, of[i:j] - lo] / total
             if grads is not None:
                 e /= total[:, None]
-                e[rows, code[at] - lo] -= 1
-                grads["w"].append((lo, hi, e.T @ h[at], e.sum(0)[:, None]))
-                dh[at] += e @ p["w"][lo:hi]
+                e[rows, of[i:j] - lo] -= 1
+                grads["w"].append((lo, hi, e.T @ at, e.sum(0)[:, None]))
+                np.matmul(e, w, out=back[i:j])
+        out[known] += np.log(inside)
+        if grads is not None:
+            dh[known] += back
         return out, dh
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -143,79 +166,96 @@ class Network:
         codes = np.concatenate([docs[k] for k in order])
         at = np.cumsum(n) - n
         total = np.zeros(len(docs))
-        end = self.voc.head.index(END) if END in self.voc.head else 0
-        h, last = np.zeros((len(docs), HIDDEN), np.float32), np.full(len(docs), end)
+        gates = self.p["x"] + self.p["b"]
+        live = np.searchsorted(-n, -np.arange(n[0] if len(n) else 0), side="left")  # documents longer than t
+        h, last = np.zeros((len(docs), HIDDEN), np.float32), np.full(len(docs), self.end)
         states, nexts, who, rows = [], [], [], 0
-        for t in range(n[0] if len(n) else 0):
-            live = int(np.searchsorted(-n, -t, side="left"))  # documents longer than t
-            h = self.step(last[:live], h[:live])[0]
-            last = codes[at[:live] + t]
+        for t, m in enumerate(live.tolist()):
+            h = self.step(gates[last[:m]], h[:m])[0]
+            last = codes[at[:m] + t]
             states.append(h)
             nexts.append(last)
-            who.append(np.arange(live))
-            rows += live
-            if rows >= SCORED or t == n[0] - 1:  # the states of a window of steps are scored together
+            who.append(m)
+            rows += m
+            if rows >= SCORED or t == len(live) - 1:  # the states of a window of steps are scored together
                 out, _ = self.log_probability(np.concatenate(states), np.concatenate(nexts))
-                total += np.bincount(np.concatenate(who), out, len(docs))
+                total += np.bincount(np.concatenate([np.arange(k) for k in who]), out, len(docs))
                 states, nexts, who, rows = [], [], [], 0
         back = np.empty(len(docs))
         back[order] = total / LOG10
         return back
 
+    @property
+    def end(self) -> int:
+        return self.voc.head.index(END) if END in self.voc.head else 0
+
     def train(self, docs: list[np.ndarray]) -> dict[str, np.ndarray]:
         """Truncated backpropagation through all documents, WIDTH side by side; returns how often each row was used."""
-        square = {k: np.full_like(v, START) for k, v in self.p.items()}
-        used = {k: np.zeros(len(v), np.float32) for k, v in self.p.items()}
-        end = self.voc.head.index(END) if END in self.voc.head else 0
+        p, h_, end = self.p, HIDDEN, self.end
+        square = {k: np.full_like(v, START) for k, v in p.items()}
+        used = {k: np.zeros(len(v), np.float32) for k, v in p.items()}
         stream = np.concatenate([np.zeros(0, np.int64), *docs])
-        n = -(-len(stream) // WIDTH)
-        codes = np.full(WIDTH * n, -1)
+        width = min(WIDTH, max(1, len(stream) // WINDOW))
+        n = -(-len(stream) // width)
+        codes = np.full(width * n, -1)
         codes[: len(stream)] = stream
-        codes = codes.reshape(WIDTH, n)  # equal lengths of the stream of documents side by side
-        h, last = np.zeros((WIDTH, HIDDEN), np.float32), np.r_[end, codes[:-1, -1]] if n else np.full(WIDTH, end)
+        codes = np.ascontiguousarray(codes.reshape(width, n).T)  # equal lengths of the stream of documents side by side
+        before = np.r_[np.r_[end, codes[-1, :-1]][None], codes[:-1]] if n else codes
+        h = np.zeros((width, h_), np.float32)
 
         def update(name: str, rows: slice | np.ndarray, grad: np.ndarray) -> None:
-            grad = np.clip(grad, -5, 5)
-            square[name][rows] += grad * grad
-            self.p[name][rows] -= RATE * grad / np.sqrt(square[name][rows])
+            s = square[name][rows] + grad * grad
+            square[name][rows] = s
+            np.sqrt(s, out=s)
+            p[name][rows] -= np.float32(RATE) * grad / s
             used[name][rows] += 1
 
         for lo in range(0, n, WINDOW):
-            trace, targets = [], []
-            for t in range(lo, min(lo + WINDOW, n)):
-                fresh = last == end  # a new document starts from an empty state
-                h = np.where(fresh[:, None], 0, h).astype(np.float32)
-                new = self.step(np.maximum(last, 0), h)
-                trace.append((last, h, fresh, *new[1:]))
-                h, last = new[0], codes[:, t]
-                targets.append((h, last))
-            states, nexts = np.concatenate([a for a, _ in targets]), np.concatenate([b for _, b in targets])
-            real = np.flatnonzero(nexts >= 0)
-            if not len(real):
-                break
+            inputs = np.maximum(before[lo : lo + WINDOW], 0)
+            steps = len(inputs)
+            fresh = [np.flatnonzero(x) for x in before[lo : lo + WINDOW] == end]  # a new document starts from an empty state
+            x = p["x"][inputs]
+            x += p["b"]
+            was, z, r, new, own, now = (np.empty((steps, width, h_), np.float32) for _ in range(6))
+            for t in range(steps):
+                was[t] = h
+                was[t][fresh[t]] = 0
+                now[t], z[t], r[t], new[t], own[t] = self.step(x[t], was[t])
+                h = now[t]
+            targets, states = codes[lo : lo + WINDOW].ravel(), now.reshape(-1, h_)
+            real = np.flatnonzero(targets >= 0)
             grads: dict = {"w": []}
-            _, dreal = self.log_probability(states[real], nexts[real], grads)
-            dstates = np.zeros_like(states)
-            dstates[real] = dreal
-            dstates = dstates.reshape(len(targets), WIDTH, HIDDEN)
-            carry, du, dx, inputs = np.zeros_like(h), np.zeros_like(self.p["u"]), [], []
-            for (code, before, fresh, z, r, cand, su), d in zip(reversed(trace), dstates[::-1], strict=True):
-                d = d + carry
-                dn = d * (1 - z) * (1 - cand * cand)
-                dz, dr = d * (before - cand) * z * (1 - z), dn * su * r * (1 - r)
-                gates = np.concatenate([dz, dr, dn], 1)
-                state = np.concatenate([dz, dr, dn * r], 1)
-                du += before.T @ state
-                carry = np.where(fresh[:, None], 0, d * z + state @ self.p["u"].T)
-                dx.append(gates)
-                inputs.append(np.maximum(code, 0))
-            dx, inputs = np.concatenate(dx), np.concatenate(inputs)
-            rows, place = np.unique(inputs, return_inverse=True)
-            sums = np.zeros((len(rows), dx.shape[1]), np.float32)
-            np.add.at(sums, place, dx)
-            update("x", rows, sums)
-            update("b", slice(None), dx.sum(0)[None])
-            update("u", slice(None), du)
+            if len(real) == len(targets):
+                _, slope = self.log_probability(states, targets, grads)
+            else:
+                slope = np.zeros_like(states)
+                _, slope[real] = self.log_probability(states[real], targets[real], grads)
+            slope = slope.reshape(now.shape)
+            # what the slope of a state makes of each gate's input
+            to_new = (1 - z) * (1 - new * new)
+            to_z, to_r = (was - new) * z * (1 - z), own * r * (1 - r)
+            gates, inner, back = np.empty((steps, width, 3 * h_), np.float32), np.empty((steps, width, 3 * h_), np.float32), np.ascontiguousarray(p["u"].T)
+            carry = np.zeros_like(h)
+            for t in range(steps - 1, -1, -1):
+                d = slope[t]
+                d += carry
+                dn, g, s = d * to_new[t], gates[t], inner[t]
+                np.multiply(d, to_z[t], out=g[:, :h_])
+                np.multiply(dn, to_r[t], out=g[:, h_ : 2 * h_])
+                g[:, 2 * h_ :] = dn
+                s[:, : 2 * h_] = g[:, : 2 * h_]
+                np.multiply(dn, r[t], out=s[:, 2 * h_ :])
+                carry = s @ back
+                d *= z[t]
+                carry += d
+                carry[fresh[t]] = 0
+            flat, gates = inputs.ravel(), gates.reshape(-1, 3 * h_)
+            order = np.argsort(flat, kind="stable")
+            sorted_ = flat[order]
+            cuts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+            update("x", sorted_[cuts], np.add.reduceat(gates[order], cuts))
+            update("b", slice(None), gates.sum(0)[None])
+            update("u", slice(None), was.reshape(-1, h_).T @ inner.reshape(-1, 3 * h_))
             update("c", slice(None), grads["c"])
             update("cb", slice(None), grads["cb"])
             for first, to, dw, db in grads["w"]:
@@ -255,7 +295,7 @@ class Fitted:
     network: Network
 
 
-def fit(df: DataFrame, text_col: str = "text", seed: int = 7) -> Fitted:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Fitted:
     """Counts of all words of df and a network trained on all its texts."""
     counts = materialize(count_words(df, text_col), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -270,7 +310,7 @@ def fit(df: DataFrame, text_col: str = "text", seed: int = 7) -> Fitted:
             sums[k] = [sums[k][0] - c, sums[k][1] - 1]
     voc, head_counts = vocabulary(head or [(END, 1)], {k: (max(0, a), max(0, b)) for k, (a, b) in sums.items()})
     net = Network(voc, head_counts, seed)
-    _train(df, text_col, net, n)
+    _train(df, id_col, text_col, net, n)
     return Fitted(counts, n, v, top, net)
 
 
@@ -287,47 +327,59 @@ def _commonest(counts: DataFrame) -> DataFrame:
     return counts.where(step >= least) if least is not None else counts.limit(0)
 
 
-def _train(df: DataFrame, text_col: str, net: Network, n_tokens: int) -> None:
-    """ROUNDS rounds of training side by side; net gets the averaged parameters."""
+def _train(df: DataFrame, id_col: str, text_col: str, net: Network, n_tokens: int) -> None:
+    """Training side by side; net gets the averaged parameters."""
     spark = df.sparkSession
     trainers = max(1, round(n_tokens / TRAINER_TOKENS))
-    texts = df.select(text_col, F.xxhash64(text_col).alias("_h"))
-    shared = spark.sparkContext.broadcast(net.voc)
+    texts = df.select(text_col, F.xxhash64(id_col, text_col).alias("_h"))
+    model = spark.sparkContext.broadcast(net)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, head = shared.value.codes(), len(shared.value.head)
+        codes, head, seen = model.value.voc.codes(), len(model.value.voc.head), Counter()
         for b in batches:
-            rows = [[codes[w] if w in codes else head + ending(w) for w in words_of(t)] for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.int32()))], ["h", "codes"])
-
-    # a hot text is one of many rows of equal h; they are dealt by row, then ordered by h within a trainer
-    rows = texts.mapInArrow(coded, "h long, codes array<int>").withColumn("trainer", F.pmod(F.xxhash64("h", F.monotonically_increasing_id()), F.lit(trainers)).cast("int"))
-    rows = materialize(rows, "coded")
-    salts = max(1, math.isqrt(trainers))
-    names = list(net.p)
-    for _ in range(ROUNDS):
-        model = spark.sparkContext.broadcast(net)
-
-        def trained(pdf: pd.DataFrame) -> pd.DataFrame:
-            net = model.value  # noqa: B023  (the plan runs within this round)
-            own = Network.__new__(Network)
-            own.voc, own.class_of, own.p = net.voc, net.class_of, {k: v.copy() for k, v in net.p.items()}
-            docs = [np.asarray(c, np.int64) for c in pdf.sort_values("h", kind="stable")["codes"]]
-            used = own.train(docs)
-            change = [((own.p[k] - net.p[k]) * used[k][:, None]).astype(np.float32).tobytes() for k in names]
-            return pd.DataFrame({"salt": int(pdf["trainer"].iloc[0]) % salts, "name": names, "change": change, "used": [used[k].tobytes() for k in names]})
-
-        def added(pdf: pd.DataFrame) -> pd.DataFrame:
-            add = lambda col: np.sum([np.frombuffer(x, np.float32) for x in pdf[col]], 0, dtype=np.float32).tobytes()
-            return pd.DataFrame({"salt": [int(pdf["salt"].iloc[0])], "name": [pdf["name"].iloc[0]], "change": [add("change")], "used": [add("used")]})
-
-        schema = "salt int, name string, change binary, used binary"
-        steps = rows.groupBy("trainer").applyInPandas(trained, schema)
-        sums = steps.groupBy("salt", "name").applyInPandas(added, schema).withColumn("salt", F.lit(0)).groupBy("name").applyInPandas(added, schema).collect()  # one row a table of the network
-        for r in sums:
-            used = np.frombuffer(r["used"], np.float32)
-            change = np.frombuffer(r["change"], np.float32).reshape(net.p[r["name"]].shape)
-            net.p[r["name"]] = net.p[r["name"]] + change / np.maximum(used, 1)[:, None]
+            for lo in range(0, b.num_rows, 1_000):
+                part = b.slice(lo, 1_000)
+                rows = [[codes[w] if w in codes else head + ending(w) for w in words_of(t)] for t in part.column(0).to_pylist()]
+                to = []
+                for h in part.column(1).to_pylist():
+                    to.append((h + seen[h] // TOGETHER) % trainers)
+                    seen[h] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), part.column(1), pa.array(rows, pa.list_(pa.int32()))], ["trainer", "h", "codes"])
+
+    def trained(pdf: pd.DataFrame) -> pd.DataFrame:
+        net = model.value
+        own = Network.__new__(Network)
+        own.voc, own.class_of, own.p = net.voc, net.class_of, {k: v.copy() for k, v in net.p.items()}
+        used = own.train([np.asarray(c, np.int64) for c in pdf.sort_values("h", kind="stable")["codes"]])
+        used = {k: np.repeat(n[:, None], own.p[k].shape[1], 1) for k, n in used.items()}
+        change = _flat({k: (own.p[k] - net.p[k]) * used[k] for k in own.p})
+        return pd.DataFrame({"node": int(pdf["trainer"].iloc[0]) // FAN_IN, "part": range(PARTS), "change": change, "used": _flat(used)})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        add = lambda col: np.sum([np.frombuffer(x, np.float32) for x in pdf[col]], 0, dtype=np.float32).tobytes()
+        return pd.DataFrame({"node": [int(pdf["node"].iloc[0]) // FAN_IN], "part": [pdf["part"].iloc[0]], "change": [add("change")], "used": [add("used")]})
+
+    schema = "node int, part int, change binary, used binary"
+    rows = texts.mapInArrow(coded, "trainer int, h long, codes array<int>")
+    sums, nodes = rows.groupBy("trainer").applyInPandas(trained, schema), -(-trainers // FAN_IN)
+    while True:  # a reduction tree: FAN_IN slices meet in a task, whatever the number of trainers
+        sums = sums.groupBy("node", "part").applyInPandas(added, schema)
+        if nodes == 1:
+            break
+        nodes = -(-nodes // FAN_IN)
+    sums = {r["part"]: r for r in sums.collect()}  # PARTS rows, which together are as large as the network
+    if not sums:
+        return
+    change, used = (np.concatenate([np.frombuffer(sums[k][col], np.float32) for k in range(PARTS)]) for col in ("change", "used"))
+    at = 0
+    for k, v in net.p.items():
+        net.p[k] = v + (change[at : at + v.size] / np.maximum(used[at : at + v.size], 1)).reshape(v.shape)
+        at += v.size
+
+
+def _flat(tables: dict[str, np.ndarray]) -> list[bytes]:
+    """The tables end to end, in PARTS slices."""
+    return [x.astype(np.float32).tobytes() for x in np.array_split(np.concatenate([v.ravel() for v in tables.values()]), PARTS)]
 
 
 def score(df: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,8 +396,8 @@ def score(df: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str =
         log_c = np.log10(np.array([c for _, c in words] or [0]) + 0.5)
         tail = -np.log10(net.voc.tail_tokens + 0.5 * (net.voc.tail_words + 1))
         for b in batches:
-            for lo in range(0, b.num_rows, 4_000):
-                part = b.slice(lo, 4_000)
+            for lo in range(0, b.num_rows, 5_000):
+                part = b.slice(lo, 5_000)
                 docs, rare, n_known, plain, inside = [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     w = words_of(text)

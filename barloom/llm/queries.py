@@ -56,7 +56,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A gated recurrent model of the training folds, and the log10 probability it gives every whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    fitted = lm.fit(docs.where(fold_of() != 1).select("text"))
+    fitted = lm.fit(docs.where(fold_of() != 1))
     out = lm.score(docs, fitted)
     return out.select("doc_id", (fold_of() == 1).alias("held_out"), "n_tokens", "n_known", F.lit(fitted.n).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -3,8 +3,10 @@
 import functools
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -180,7 +182,7 @@ def test_decode_replaces_bytes_that_are_not_utf8(spark):
 
 
 def test_lm(spark, docs, empty):
-    fitted = lm.fit(docs.select("text"))
+    fitted = lm.fit(docs)
     counts = Counter(w for _, t, *_ in documents() for w in lm.words_of(t))
     assert (fitted.n, fitted.v) == (sum(counts.values()), len(counts))
     got = lm.score(docs, fitted).collect()
@@ -190,14 +192,14 @@ def test_lm(spark, docs, empty):
     assert all(r.n_known == r.n_tokens and r.score < 0 for r in got)
     other = spark.createDataFrame([(1, "never seen w1", None, None, None)], DOCS)
     assert lm.score(other, fitted).first().n_known == 2
-    nothing = lm.fit(empty.select("text"))
+    nothing = lm.fit(empty)
     assert lm.score(other, nothing).first().n_known == 0 and lm.score(empty, nothing).count() == 0
 
 
 def test_network_learns_from_every_text(spark):
     """Each text has words of its own: the gates of all of them have moved."""
     texts = [f"one{k} two{k} three{k}" for k in range(60)]
-    net = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string")).network
+    net = lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).network
     start = lm.Network(net.voc, np.ones(len(net.voc.head)), 7).p["x"]
     moved = (net.p["x"] != start).any(1)
     assert len(net.voc.head) == 181 and all(moved[k] for k in range(181))
@@ -310,6 +312,67 @@ def test_warc_text_keeps_what_is_no_tag():
     assert warc.plain_text("<p>one <b two</p>three <i don't>it's</i><br/>4<5<!-- <p> --><hr>end") == "one <b two\nthree it's\n4<5\nend"
 
 
+@pytest.mark.parametrize("bit", ["<script ", "<a ", "<", "<a ='", "<!--", "<title>", "<head>", "<b ='<b'=", "&", "<p>"])
+def test_warc_reads_a_megabyte_of_anything_in_time(bit):
+    began = time.process_time()
+    warc.plain_text(bit * (1_000_000 // len(bit)))
+    warc.plain_text("<a " + bit * (1_000_000 // len(bit)) + " <")
+    assert time.process_time() - began < 20
+
+
+def test_warc_agrees_with_the_standard_parser(spark):
+    """Random well-formed pages read by html.parser: the same text outside unseen elements, links, title and language."""
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.links, self.title, self.hidden, self.inside = [], [], "", 0, None
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in warc.HIDDEN | warc.RAW
+            self.inside = tag
+            self.out.append("\n" if tag in warc.BLOCKS else "" if not self.hidden else " ")
+            if tag == "a":
+                self.links += [v or "" for k, v in attrs if k == "href"][:1]
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in warc.HIDDEN | warc.RAW
+            self.inside = None
+            self.out.append("\n" if tag in warc.BLOCKS else "")
+
+        def handle_data(self, data):
+            if self.inside == "title":
+                self.title += data
+            elif not self.hidden:
+                self.out.append(data)
+
+    r = random.Random(4)
+
+    def piece(depth):
+        kind = r.choice(["text", "p", "b", "div", "a", "script", "noscript", "br", "span", "li"])
+        if kind == "text" or depth > 4:
+            return "".join(r.choice(["one ", "zwei ", "&amp; ", "x&lt;y ", "\n", "é "]) for _ in range(r.randrange(5)))
+        inner = "".join(piece(depth + 1) for _ in range(r.randrange(4)))
+        if kind == "br":
+            return "<br/>"
+        if kind == "script":
+            return "<script type='t'>var x = 1;</script >"
+        if kind == "noscript":
+            return "<noscript>no</noscript>"
+        attrs = r.choice(["", " class=k", ' title="a > b"', " data-x='<q>'"]) + (r.choice([" href='/u'", ' HREF = "v?x=1"', " href=w", ""]) if kind == "a" else "")
+        return f"<{kind}{attrs}>{inner}</{kind.upper() if r.random() < 0.2 else kind}>"
+
+    for _ in range(300):
+        text = f"<!DOCTYPE html><html lang=de><head><title>T {r.random()}</title></head><body>" + "".join(piece(0) for _ in range(6)) + "</body></html>"
+        want = Plain()
+        want.feed(text)
+        want.close()
+        lines = (" ".join(x.split()) for x in "".join(want.out).split("\n"))
+        page = warc.Page(text)
+        assert warc.plain_text(page) == "\n".join(x for x in lines if x), text
+        assert page.links == want.links and page.title == want.title and page.lang == "de"
+
+
 def test_warc_keeps_repeated_headers(spark):
     block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: text/html\r\nSet-Cookie: b=2\r\n\r\n<p>x</p>"
     resp = warc.responses(spark.createDataFrame([(1, "http://a.example/", "")], "page_id long, url string, html string")).withColumn("block", F.lit(block))
