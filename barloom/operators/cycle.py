@@ -71,24 +71,18 @@ class Cycle:
 
 
 class _Phase:
-    """The phase of the dominant cycle in degrees."""
-
-    def __init__(self) -> None:
-        self.value = 0.0
+    """The phase of the dominant cycle in degrees; 0 while the cycle has no length."""
 
     def __call__(self, c: Cycle) -> float:
         n = c.span()
+        if not n:
+            return 0.0
         angles = [math.radians(360 * k / n) for k in range(n)]
         real = sum(math.sin(a) * c.smooth[k] for k, a in enumerate(angles))
         imag = sum(math.cos(a) * c.smooth[k] for k, a in enumerate(angles))
-        if imag:
-            self.value = math.degrees(math.atan(real / imag))
-        else:
-            self.value += math.copysign(90, real) if real else 0.0
-        self.value += 90 + (360 / c.smooth_period if c.smooth_period else 0.0) + (180 if imag < 0 else 0)
-        if self.value > 315:
-            self.value -= 360
-        return self.value
+        turned = math.degrees(math.atan(real / imag)) if imag else math.copysign(90, real) if real else 0.0
+        turned += 90 + 360 / c.smooth_period + (180 if imag < 0 else 0)
+        return turned - 360 if turned > 315 else turned
 
 
 class _Trend:

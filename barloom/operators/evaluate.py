@@ -1,8 +1,8 @@
 """Grids of parameters, walk-forward segments, and reports on trades, flags and coverage.
 
 Runs (a candidate, a segment) are made by exploding each row into the runs it takes part in, without a join: rows grow by the
-number of candidates, which MAX_CANDIDATES bounds, or by (train + test) / step. A run's rows then are a source of their own,
-so that the runs of one source are simulated in parallel.
+number of candidates, which MAX_CANDIDATES bounds, or by (train + test) / step. A run is scored by the returns of the bars in
+which its position is held: windows and grouped sums over (source, run), so that runs of one source go side by side.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import analytics, simulate
+from . import analytics
 from .windows import by
 
 MAX_CANDIDATES = 10_000
@@ -45,19 +45,29 @@ def walk_forward(df: DataFrame, train: int, test: int, step: int) -> DataFrame:
     return out.withColumn("held_out", i - F.col("segment") * step >= train).drop("_i", "_n", "_first", "_last")
 
 
-def simulate_runs(signals: DataFrame, *runs: str, **settings: float) -> DataFrame:
-    """Each run of each source with an account of its own; series is the source, source a key of source and run."""
-    key = F.concat_ws("\x1f", "source", *[F.col(r).cast("string") for r in runs])
-    return simulate.simulate(signals.withColumns({"series": F.col("source"), "source": key}), **settings)
+def positions(df: DataFrame, held: Column, before: Column, value: str = "close") -> DataFrame:
+    """df with r, the return of a bar whose bar before ended with a position (else 0), and entry, whether it was new there.
 
+    held and before: whether there was a position at the end of the bar before, and of the one before that (NULL: none).
+    """
+    on, was = F.coalesce(held, F.lit(False)), F.coalesce(before, F.lit(False))
+    gain = F.col(value) / F.nullif(F.lag(value).over(by()), F.lit(0.0)) - 1
+    return df.withColumns({"_gain": gain}).withColumns({"r": F.when(on, F.coalesce("_gain", F.lit(0.0))).otherwise(0.0), "entry": on & ~was}).drop("_gain")
 
-def scores(result: DataFrame, *runs: str, capital: float = 10_000.0) -> DataFrame:
-    """By series and run: trades, ending equity, total return, largest drawdown and the objectives made of them."""
-    ends = simulate.trades(result).select("source", "trades", "win_rate", "ending_equity")
-    names = result.select("source", "series", *runs).distinct()
-    out = names.join(ends, "source").join(analytics.drawdown(result).select("source", "max_drawdown"), "source").drop("source")
-    gain, fall = F.col("ending_equity") / capital - 1, F.col("max_drawdown") / capital
-    return out.withColumns({"total_return": gain, "return_over_drawdown": F.when(fall > 0, gain / fall)})
+
+def scores(rows: DataFrame, *runs: str, capital: float = 10_000.0) -> DataFrame:
+    """By source and run of rows (time, r, entry): trades, share of winners, return, ending equity, largest drawdown, objectives."""
+    w = Window.partitionBy("source", *runs).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("_g", F.log1p("r")).withColumns({"_sum": F.sum("_g").over(w), "_trade": F.count(F.when(F.col("entry"), 1)).over(w)})
+    out = out.withColumn("_fall", capital * (F.exp(F.greatest(F.lit(0.0), F.max("_sum").over(w))) - F.exp("_sum")))
+    trades = out.groupBy("source", *runs, "_trade").agg(F.sum("_g").alias("g"), F.max("_fall").alias("fall"))
+    won = F.count(F.when((F.col("_trade") > 0) & (F.col("g") > 0), 1))
+    n = F.count(F.when(F.col("_trade") > 0, 1))
+    out = trades.groupBy("source", *runs).agg(n.alias("trades"), F.when(n > 0, won / n).otherwise(0.0).alias("win_rate"), F.sum("g").alias("growth"), F.max("fall").alias("max_drawdown"))
+    out = out.withColumns({"total_return": F.exp("growth") - 1, "ending_equity": capital * F.exp("growth")})
+    fall = F.col("max_drawdown") / capital
+    lost, idle = (F.col("total_return") < 0).cast("double"), (F.col("trades") == 0).cast("double")
+    return out.withColumns({"return_over_drawdown": F.when(fall > 0, F.col("total_return") / fall), "robust_return": robust_return(F.col("total_return"), fall, lost, idle)})
 
 
 def robust_return(total: Column, drawdown: Column, negative: Column, idle: Column) -> Column:
@@ -65,10 +75,30 @@ def robust_return(total: Column, drawdown: Column, negative: Column, idle: Colum
     return total - 0.5 * drawdown - 0.25 * negative - 0.1 * idle
 
 
-def best(scored: DataFrame, objective: str, top: int) -> DataFrame:
-    """By series, the top candidates: score, then equity, falling; then the number."""
-    w = Window.partitionBy("series").orderBy(F.col(objective).desc_nulls_last(), F.col("ending_equity").desc_nulls_last(), "candidate")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+def best(scored: DataFrame, objective: str, top: int, *keys: str, passed: Column | None = None) -> DataFrame:
+    """By keys (source, if none), the top candidates: those that pass constraints first, then score and equity, falling; then the number."""
+    order = [] if passed is None else [passed.cast("int").desc_nulls_last()]
+    order += [F.col(objective).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in ("ending_equity",) if c in scored.columns], F.col("candidate")]
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*(keys or ("source",))).orderBy(*order))).where(F.col("rank") <= top)
+
+
+def drift_flags(segments: DataFrame) -> DataFrame:
+    """segments (source, trades, wins, total_return, max_drawdown, stitched_drawdown) with flags of those that fare worse than all."""
+    whole = Window.partitionBy("source")
+    trades, rate = F.sum("trades").over(whole), F.sum("wins").over(whole) / F.nullif(F.sum("trades").over(whole), F.lit(0))
+    own = F.col("wins") / F.nullif(F.col("trades"), F.lit(0))
+    return segments.withColumns({
+        "zero_trades": F.col("trades") == 0, "negative_return": F.col("total_return") < -1e-9, "high_drawdown": F.col("max_drawdown") > F.greatest("stitched_drawdown", F.lit(1.0)),
+        "win_rate_collapse": F.coalesce((trades > 0) & (F.col("trades") > 0) & (own + 0.15 < rate), F.lit(False)),
+    })
+
+
+def baseline(scored: DataFrame, bars: DataFrame, value: str = "close") -> DataFrame:
+    """scored with the return of holding the asset over all bars, and what a run returned beyond cash and beyond the asset."""
+    at = F.struct("time", value)
+    asset = bars.groupBy("source").agg((F.max(at)[value] / F.nullif(F.min(at)[value], F.lit(0.0)) - 1).alias("asset_return"))
+    out = scored.join(asset, "source", "left")
+    return out.withColumns({"excess_over_cash": F.col("total_return"), "excess_over_asset": F.col("total_return") - F.col("asset_return")})
 
 
 def stitched(equity: DataFrame, capital: float = 10_000.0) -> DataFrame:

@@ -1,17 +1,16 @@
 """Operators that depend on their own past, as folds over rows in time order.
 
 Rows are hash-partitioned by source and sorted within partitions; each task steps through its rows in batches and carries
-a fold's state from one to the next, so memory doesn't grow with the length of a series. A missing input gives a missing
-output and holds the state. All folds of a query share one exchange and one pass.
+a fold's state from one to the next, so memory doesn't grow with the length of a series. A missing input (NULL; NaN is a
+number) gives a missing output and holds the state. All folds of a query share one exchange and one pass.
 """
 
 from __future__ import annotations
 
-import math
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -129,6 +128,7 @@ def cmo(n: int) -> Step:
 
 def macd(fast: int = 12, slow: int = 26, signal: int = 9) -> Step:
     """(line, signal, difference). Both means start at the slow one's first full window, the fast one on its last samples."""
+    fast, slow = min(fast, slow), max(fast, slow)
     past: deque = deque(maxlen=slow)
     f = s = None
     sig = ema(signal)
@@ -207,6 +207,7 @@ def directional(n: int = 14) -> Step:
 
 
 def adosc(fast: int = 3, slow: int = 10) -> Step:
+    fast, slow = min(fast, slow), max(fast, slow)
     total, count, f, s = 0.0, 0, ema(fast, "first"), ema(slow, "first")
 
     def step(h: float | None, lo: float | None, c: float | None, v: float | None) -> float | None:
@@ -230,11 +231,11 @@ def supertrend(n: int = 10, multiplier: float = 3.0) -> Step:
         nonlocal up, down, bull, close
         a = mean(h, lo, c)
         if a is None:
-            close = c if c is not None else close
+            close = close if None in (h, lo, c) else c
             return None, None
         top, bottom = (h + lo) / 2 + multiplier * a, (h + lo) / 2 - multiplier * a
         if up is None:
-            up, down, bull = top, bottom, c >= (h + lo) / 2
+            up, down, bull = top, bottom, close is not None and c >= close
         else:
             up = top if top < up or close > up else up
             down = bottom if bottom > down or close < down else down
@@ -251,19 +252,19 @@ def fold(df: DataFrame, folds: dict[str, tuple[Callable[[], Step], list[str], li
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in outputs]])
     inputs = {name: ins for name, (_, ins, _) in folds.items()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, steps = object(), {}
-        for pdf in batches:
+        for b in batches:
             made: dict[str, list] = {c: [] for c in outputs}
-            cols = {c: [None if v is None or v != v else float(v) for v in pdf[c].tolist()] for ins in inputs.values() for c in ins}
-            for k, at in enumerate(pdf["source"].tolist()):
+            cols = {c: b.column(c).cast(pa.float64()).to_pylist() for ins in inputs.values() for c in ins}  # NULL is None, NaN a number
+            for k, at in enumerate(b.column("source").to_pylist()):
                 if at != source:
                     source, steps = at, {name: make() for name, (make, _, _) in folds.items()}
                 for name, (_, ins, outs) in folds.items():
                     got = steps[name](*[cols[c][k] for c in ins])
                     for c, v in zip(outs, got if isinstance(got, tuple) else (got,), strict=True):
-                        made[c].append(math.nan if v is None else float(v))
-            yield pdf.assign(**{c: pd.Series(v, index=pdf.index, dtype="Float64").mask(pd.Series(v, index=pdf.index).isna()) for c, v in made.items()})
+                        made[c].append(None if v is None else float(v))
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(made[c], pa.float64()) for c in outputs]], [*b.schema.names, *outputs])
 
     by = df.repartition("source") if parts is None else df.repartition(parts, "source")
-    return by.sortWithinPartitions("source", "time").mapInPandas(run, schema)
+    return by.sortWithinPartitions("source", "time").mapInArrow(run, schema)

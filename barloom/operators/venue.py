@@ -16,6 +16,22 @@ def ranked(bars: DataFrame, sources: list[str], price: str = "close") -> DataFra
     return rows.withColumns({"rank_asc": up, "rank_desc": down}).drop("_arg")
 
 
+def selected(bars: DataFrame, sources: list[str], rank: int, descending: bool = False, price: str = "close") -> DataFrame:
+    """The source at a rank (from 1) of each time; NULL where fewer have a price, and for every time if rank is no whole number from 1."""
+    place = F.col("rank_desc" if descending else "rank_asc")
+    hit = (place == rank) if rank == int(rank) and rank >= 1 else F.lit(False)
+    return ranked(bars, sources, price).groupBy("time").agg(F.max(F.when(hit, F.col("source"))).alias("selected"))
+
+
+def in_top_n(n: int) -> Column:
+    """Of ranked(): among the n highest."""
+    return F.col("rank_desc") <= n
+
+
+def in_bottom_n(n: int) -> Column:
+    return F.col("rank_asc") <= n
+
+
 def chosen(bars: DataFrame, sources: list[str], price: str = "close") -> DataFrame:
     """cheapest and richest source of each time: a grouped minimum, combined before the shuffle."""
     order = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source"))

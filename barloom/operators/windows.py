@@ -6,11 +6,14 @@ All share one window specification by source and time, so that Spark sorts once
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from ..functions.scalar import ge, gt, le, lt
+
 def by() -> WindowSpec:
     return Window.partitionBy("source").orderBy("time")
 
@@ -29,10 +32,17 @@ def full(x: Column, n: int, value: Column) -> Column:
 
 
 def prepared(bars: DataFrame, anchor: Column | None = None) -> DataFrame:
-    """bars with what some operators read: _i (row number), _tp and _tp0 (typical price, now and before), _c0 (close before), _epoch."""
+    """bars with what some operators read: _i (row number), _tp and _tp0 (typical price, now and before), _c0 (close before),
+    _traded (close before among rows with close and volume); with an anchor also _anchor, _epoch (running number of anchors)
+    and _e (running number of rows whose anchor isn't NULL)."""
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3
-    out = bars.withColumns({"_i": F.row_number().over(by()), "_tp": tp, "_tp0": F.lag(tp).over(by()), "_c0": F.lag("close").over(by())})
-    return out if anchor is None else out.withColumn("_anchor", anchor).withColumn("_epoch", F.sum(F.when(F.col("_anchor"), 1).otherwise(0)).over(running()))
+    traded = F.when(F.col("close").isNotNull() & F.col("volume").isNotNull(), F.col("close"))
+    before = by().rowsBetween(Window.unboundedPreceding, -1)
+    out = bars.withColumns({"_i": F.row_number().over(by()), "_tp": tp, "_tp0": F.lag(tp).over(by()), "_c0": F.lag("close").over(by()), "_traded": F.last(traded, True).over(before)})
+    if anchor is None:
+        return out
+    out = out.withColumn("_anchor", anchor)
+    return out.withColumns({"_epoch": F.sum(F.when(F.col("_anchor"), 1).otherwise(0)).over(running()), "_e": F.count("_anchor").over(running())})
 
 
 def ratio(a: Column, b: Column, zero: float = 0.0) -> Column:
@@ -132,12 +142,19 @@ def min_index(x: Column, n: int = 30) -> Column:
 
 
 def rising(x: Column, n: int) -> Column:
-    """Above each of the n samples before."""
-    return F.when(F.count(x).over(rows(n + 1)) == n + 1, x > F.max(x).over(by().rowsBetween(-n, -1)))
+    """Above each of the n samples before, from the newest back: false at the first that isn't below, NULL at a missing one before that."""
+    return _above_all(x, n, lambda a, b: a > b)
 
 
 def falling(x: Column, n: int) -> Column:
-    return F.when(F.count(x).over(rows(n + 1)) == n + 1, x < F.min(x).over(by().rowsBetween(-n, -1)))
+    return _above_all(x, n, lambda a, b: a < b)
+
+
+def _above_all(x: Column, n: int, beats: Callable[[Column, Column], Column]) -> Column:
+    out = F.lit(True)
+    for k in range(n, 0, -1):  # the newest is decided last, so it comes first
+        out = F.when(lag(x, k).isNull(), None).when(~beats(x, lag(x, k)), False).otherwise(out)
+    return F.when(x.isNotNull() & (F.count(F.lit(1)).over(rows(n + 1)) == n + 1), out)
 
 
 def avgdev(x: Column, n: int = 14) -> Column:
@@ -220,7 +237,7 @@ def mfi(n: int = 14) -> Column:
     flow = tp * F.col("volume")
     up, down = F.when(F.col("_tp") > F.col("_tp0"), flow).otherwise(0.0), F.when(F.col("_tp") < F.col("_tp0"), flow).otherwise(0.0)
     pos, neg = F.sum(up).over(rows(n)), F.sum(down).over(rows(n))
-    return F.when(F.count("_tp0").over(rows(n)) == n, F.when(neg == 0, 100.0).otherwise(100 * pos / F.nullif(pos + neg, F.lit(0.0))))
+    return F.when(F.count(F.when(F.col("_tp0").isNotNull(), flow)).over(rows(n)) == n, F.when(neg == 0, 100.0).otherwise(100 * pos / F.nullif(pos + neg, F.lit(0.0))))
 
 
 def imi(n: int = 14) -> Column:
@@ -244,13 +261,14 @@ def cci(n: int = 14) -> Column:
 
 
 def crossover(a: Column, b: Column) -> Column:
+    """a above b now, not above before. A NaN compares as false."""
     pa, pb = lag(a), lag(b)
-    return F.when(a.isNotNull() & b.isNotNull() & pa.isNotNull() & pb.isNotNull(), (a > b) & (pa <= pb))
+    return F.when(a.isNotNull() & b.isNotNull() & pa.isNotNull() & pb.isNotNull(), gt(a, b) & le(pa, pb))
 
 
 def crossunder(a: Column, b: Column) -> Column:
     pa, pb = lag(a), lag(b)
-    return F.when(a.isNotNull() & b.isNotNull() & pa.isNotNull() & pb.isNotNull(), (a < b) & (pa >= pb))
+    return F.when(a.isNotNull() & b.isNotNull() & pa.isNotNull() & pb.isNotNull(), lt(a, b) & ge(pa, pb))
 
 
 # events
@@ -284,43 +302,55 @@ def cum(x: Column) -> Column:
 
 
 def obv() -> Column:
-    return F.sum(F.when(F.col("_c0").isNull(), F.col("volume")).when(F.col("close") > F.col("_c0"), F.col("volume")).when(F.col("close") < F.col("_c0"), -F.col("volume")).otherwise(0.0)).over(running())
+    """Rows without close or volume give NULL and count for nothing; the first of the others adds its volume."""
+    c, v, p = F.col("close"), F.col("volume"), F.col("_traded")
+    return F.when(c.isNotNull() & v.isNotNull(), F.sum(F.when(c.isNull(), 0.0).when(p.isNull(), v).when(c > p, v).when(c < p, -v).otherwise(0.0)).over(running()))
 
 
 def ad() -> Column:
     wide = F.col("high") - F.col("low")
     part = F.when(wide > 0, (2 * F.col("close") - F.col("low") - F.col("high")) / F.nullif(wide, F.lit(0.0)) * F.col("volume")).otherwise(0.0)
-    return F.sum(part).over(running())
+    return F.when((wide + F.col("close") + F.col("volume")).isNotNull(), F.sum(part).over(running()))
 
 
-# epochs: rows from an anchor to the next; `_epoch` is the running number of anchors (see prepared)
+# epochs: rows from an anchor to the next (see prepared). A row whose anchor is NULL gives NULL and isn't part of its epoch.
 
 
 def epoch() -> WindowSpec:
     return Window.partitionBy("source", "_epoch").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _taken(x: Column) -> Column:
+    return F.when(F.col("_anchor").isNotNull(), x)
+
+
+def _since(x: Column, value: Column) -> Column:
+    return F.when((F.col("_epoch") > 0) & _taken(x).isNotNull(), value)
+
+
 def highest_since(x: Column) -> Column:
-    return F.when((F.col("_epoch") > 0) & x.isNotNull(), F.max(x).over(epoch()))
+    return _since(x, F.max(_taken(x)).over(epoch()))
 
 
 def lowest_since(x: Column) -> Column:
-    return F.when((F.col("_epoch") > 0) & x.isNotNull(), F.min(x).over(epoch()))
+    return _since(x, F.min(_taken(x)).over(epoch()))
 
 
 def count_since(c: Column) -> Column:
-    return F.when(F.col("_epoch") > 0, F.sum(F.when(c, 1.0).otherwise(0.0)).over(epoch()))
+    """How often c held; NULL where c is NULL."""
+    return _since(c, F.sum(F.when(_taken(c), 1.0).otherwise(0.0)).over(epoch()))
 
 
 def anchored_vwap(price: Column, volume: Column) -> Column:
-    """From the first row, before any anchor too."""
-    v = F.sum(volume).over(epoch())
-    return F.when(v != 0, F.sum(price * volume).over(epoch()) / F.nullif(v, F.lit(0.0)))
+    """From the first row, before any anchor too. A row without price or volume gives NULL and counts for nothing."""
+    v = F.sum(F.when(_taken(price).isNotNull(), volume)).over(epoch())
+    return F.when((v != 0) & _taken(price * volume).isNotNull(), F.sum(_taken(price * volume)).over(epoch()) / F.nullif(v, F.lit(0.0)))
 
 
 def highest_bars_since(x: Column) -> Column:
     """Rows since the maximum of the epoch, the newest if several."""
-    return F.when((F.col("_epoch") > 0) & x.isNotNull(), (_row() - F.max(F.when(x.isNotNull(), F.struct(x.alias("x"), _row().alias("i")))).over(epoch())["i"]).cast("double"))
+    e = F.col("_e")
+    return _since(x, (e - F.max(F.when(_taken(x).isNotNull(), F.struct(x.alias("x"), e.alias("e")))).over(epoch())["e"]).cast("double"))
 
 
 def lowest_bars_since(x: Column) -> Column:
@@ -334,10 +364,10 @@ def with_value_when(df: DataFrame, c: Column, x: Column, out: str, occurrence: i
     """
     keys = ["source", "_epoch"] if since_anchor else ["source"]
     hits = Window.partitionBy(*keys, "_hit").orderBy("time")
-    rows = df.withColumn("_hit", F.coalesce(c, F.lit(False)))
+    rows = df.withColumn("_hit", F.coalesce(_taken(c) if since_anchor else c, F.lit(False)))
     rows = rows.withColumn("_caught", F.when(F.col("_hit"), F.struct(F.lag(x, occurrence).over(hits).alias("v"))))
     last = F.last("_caught", True).over(Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0))["v"]
-    seen = c.isNotNull() & (F.col("_epoch") > 0) if since_anchor else c.isNotNull()
+    seen = _taken(c).isNotNull() & (F.col("_epoch") > 0) if since_anchor else c.isNotNull()
     return rows.withColumn(out, F.when(seen, last)).drop("_hit", "_caught")
 
 

@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from barloom import queries
 from barloom.functions import scalar
-from barloom.operators import analytics, averages, cycle, evaluate, recursive, simulate, windows
+from barloom.operators import analytics, averages, cycle, evaluate, recursive, windows
 from barloom.plans import timeline
 from barloom.sources import bars as sources
+from barloom.sources.registry import Feeds
+from barloom.streaming import stream_bars
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "source string, time long, open double, high double, low double, close double, volume double"
@@ -27,7 +30,7 @@ def by_duckdb(sql):
 
 
 def keyed(df):
-    keys = [c for c in ("source", "key", "label", "state", "time", "start", "segment") if c in df.columns]
+    keys = [c for c in ("source", "key", "label", "state", "time", "start", "segment", "rank", "event_id") if c in df.columns]
     return df[sorted(df.columns)].sort_values(keys).reset_index(drop=True)
 
 
@@ -159,43 +162,94 @@ def test_parabolic_stop_follows_and_turns():
     assert run(averages.sar(), *down)[-1] == 20.0 and run(averages.sarext(), *down)[-1] == -20.0
 
 
-def test_account_fills_at_the_next_bar_once():
-    step = simulate.account(1000.0, taker=0.0, slippage_bps=0.0)
-    rows = [(10, 11, 9, 10, True, False, None, None), (20, 21, 19, 20, False, False, 15, 40), (22, 23, 14, 16, False, True, None, None), (17, 18, 16, 17, False, False, None, None)]
-    got = [step(*r) for r in rows]
-    assert [g[0] for g in got] == [0, 1, -1, 0] and got[1][1] == 20 and got[2][1] == 15 and got[2][4] == -250 and got[3][-1] == 750
-    late = simulate.account(1000.0, taker=0.0, slippage_bps=0.0, most_bars=1)
-    assert [late(10, 11, 9, 10, True, False, None, None)[0] for _ in range(4)] == [0, 1, -1, 1]
-    assert simulate.account()(None, 1, 1, 1, True, False, None, None)[0] is None
-
-
 def test_reports(spark):
     eq = spark.createDataFrame([("a", k * 86_400_000, v) for k, v in enumerate([10.0, 12.0, 9.0, 11.0, 13.0])], "source string, time long, equity double")
-    assert tuple(analytics.drawdown(eq).first()) == ("a", 3.0, 2)
+    assert tuple(analytics.drawdown(eq).first()) == ("a", 3.0, 2, 0, 0, 2.0)
     assert analytics.sharpe(eq).first()["sharpe"] > 0
     assert analytics.segments(10, 4, 2, 2) == [(0, 0, 4, 6), (1, 2, 6, 8), (2, 4, 8, 10)]
 
 
-def test_folds_without_sql_give_a_row_for_each_bar(spark):
-    n = sources.order_bars(spark, SF).count()
-    assert queries.cycles(spark, SF).count() == n and queries.simulated(spark, SF).count() == 5
-
-
-def test_runs_of_a_grid_equal_single_runs(spark):
-    cols = {"enter": F.col("time") % 240_000 == 0, "leave": F.col("time") % 420_000 == 0, "target": F.lit(None).cast("double")}
-    bars = make(spark, [100 + 10 * c for c in CLOSES]).withColumns(cols)
-    both = evaluate.grid(bars, kind=[1, 2], share=[0.5, 0.98, 0.99]).withColumn("stop", F.col("close") * F.col("share"))
-    got = {(r["kind"], r["share"]): r for r in evaluate.scores(evaluate.simulate_runs(both, "candidate", "kind", "share"), "candidate", "kind", "share").collect()}
-    assert len(got) == 6 and sorted(r["candidate"] for r in got.values()) == list(range(6)) and got[1, 0.98]["candidate"] == 1
-    for share in (0.5, 0.98, 0.99):
-        one = simulate.trades(simulate.simulate(bars.withColumn("stop", F.col("close") * share))).first()
-        assert got[1, share]["ending_equity"] == got[2, share]["ending_equity"] == one["ending_equity"] and got[2, share]["trades"] == one["trades"]
-    top = evaluate.best(spark.createDataFrame(list(got.values())), "total_return", 2).orderBy("rank").collect()
-    assert [r["rank"] for r in top] == [1, 2] and top[0]["ending_equity"] == max(r["ending_equity"] for r in got.values()) and top[0]["candidate"] < 3
+def test_grids_and_scores(spark):
+    """A position over rows 2 and 3, then one over row 6: two trades, one of them a winner."""
+    bars = make(spark, [10, 11, 12, 15, 14, 13, 11.7]).withColumns({"before": F.col("time").isin(60_000 * 2, 60_000 * 3, 60_000 * 6), "earlier": F.col("time").isin(60_000 * 3)})
+    runs = evaluate.grid(evaluate.positions(bars, F.col("before"), F.col("earlier")), kind=[1, 2], share=[0.5, 0.98, 0.99])
+    got = evaluate.scores(runs, "candidate", "kind", "share").collect()
+    assert len(got) == 6 and sorted(r.candidate for r in got) == list(range(6)) and {r.kind for r in got if r.candidate < 3} == {1}
+    for r in got:
+        assert r.trades == 2 and r.win_rate == 0.5 and r.total_return == pytest.approx(15 / 11 * 0.9 - 1) and r.max_drawdown == pytest.approx(10_000 * 15 / 11 * 0.1)
+        assert r.robust_return == pytest.approx(r.total_return - 0.5 * r.max_drawdown / 10_000)
+    top = evaluate.best(spark.createDataFrame(got), "total_return", 2, passed=F.col("kind") == 2).orderBy("rank").collect()
+    assert [(r["rank"], r.candidate) for r in top] == [(1, 3), (2, 4)]
     with pytest.raises(ValueError):
         evaluate.grid(bars, kind=[])
 
 
+def test_drift_flags(spark):
+    rows = [("a", 0, 10, 8, 0.1, 1.0, 5.0), ("a", 1, 0, 0, 0.0, 1.0, 5.0), ("a", 2, 10, 1, -0.2, 9.0, 5.0)]
+    got = evaluate.drift_flags(spark.createDataFrame(rows, "source string, segment int, trades int, wins int, total_return double, max_drawdown double, stitched_drawdown double")).orderBy("segment")
+    flags = [tuple(r) for r in got.select("zero_trades", "negative_return", "high_drawdown", "win_rate_collapse").collect()]
+    assert flags == [(False,) * 4, (True, False, False, False), (False, True, True, True)]
+
+
+def test_lengths_may_be_swapped_and_the_first_side_follows_the_close():
+    h, lo, c, v = ([x + k for x in CLOSES] for k in (1.0, -1.0, 0.0, 100.0))
+    assert run(recursive.macd(6, 3, 2), c) == run(recursive.macd(3, 6, 2), c) and run(recursive.adosc(10, 3), h, lo, c, v) == run(recursive.adosc(3, 10), h, lo, c, v)
+    assert run(recursive.supertrend(3), (11, 12, 13, 20), (9, 10, 11, 10), (10, 11, 12, 14))[-1][1] is True
+
+
+def test_nan_is_a_number_to_folds(spark):
+    df = make(spark, [1, 2, 3, 4]).withColumn("close", F.when(F.col("time") == 60_000, float("nan")).when(F.col("time") == 120_000, None).otherwise(F.col("close")))
+    got = values(recursive.fold(df, {"e": (lambda: recursive.ema(1), ["close"], ["e"])}), "e")
+    assert got[0] == 1 and math.isnan(got[1]) and got[2] is None and math.isnan(got[3])
+
+
+def test_anchored_operators_skip_rows_without_anchor_or_value(spark):
+    rows = [("a", k, 0.0, 0.0, 0.0, c, v, a, q) for k, (c, v, a, q) in enumerate([(10.0, 1.0, True, True), (None, 9.0, False, None), (12.0, 1.0, None, True), (13.0, 2.0, False, True)])]
+    df = windows.prepared(spark.createDataFrame(rows, SCHEMA + ", a boolean, q boolean"), anchor=F.col("a"))
+    c, v = F.col("close"), F.col("volume")
+    out = df.select("source", "time", windows.highest_since(c).alias("hi"), windows.count_since(F.col("q")).alias("n"), windows.anchored_vwap(c, v).alias("vwap"), windows.highest_bars_since(c).alias("hb"), windows.obv().alias("obv"))
+    assert values(out, "hi", "n", "vwap", "hb", "obv") == [(10, 1, 10, 0, 1), (None, None, None, None, None), (None, None, None, None, 2), (13, 2, 12, 0, 4)]
+
+
+def test_validation_raises_where_the_table_is_read(spark):
+    bars = make(spark, [1, 2, 3])
+    assert sources.validated(bars, "1m").count() == 3 and sources.invalid_bars(bars, "1m").count() == 0
+    for bad in (bars.union(bars.limit(1)), bars.withColumn("time", F.col("time") + 5), bars.withColumn("time", F.col("time") + 0.5)):
+        assert sources.invalid_bars(bad, "1m").count() > 0
+        with pytest.raises(Exception, match="1m bar of a at"):
+            sources.validated(bad, "1m").collect()
+
+
+def test_feeds_are_checked(spark):
+    bars = make(spark, range(6))
+    feeds = Feeds("1m").add("x", bars, target=True).use("x", "3m")
+    assert feeds.check().bars("x", "3m").count() == 2 and feeds.bars("x").count() == 6
+    assert {r.current_execution for r in feeds.all_bars().collect()} == {"x"}
+    for wrong in (lambda: feeds.add("x", bars), lambda: feeds.use("x", "1s"), lambda: feeds.bars("y"), lambda: Feeds("1m").add("x", bars, "3m").check(), lambda: Feeds("1m").add("x", bars).add("x", bars, "5m").check()):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+@pytest.mark.parametrize("every", ["hour", "week"])
+def test_bars_of_a_stream_equal_those_of_the_table(spark, tmp_path, every):
+    """Events come in two files; repeated ones count once, and one that is too late for its closed bar is left out."""
+    step = {"hour": 3_600, "week": 7 * 86_400}[every]
+    rows = [(k, 345_600 + k * step // 4, "a", float(k)) for k in range(40)]
+    late = (99, 345_600 + 1, "a", 1e9)
+    schema = "event_id long, at long, event_type string, value double"
+    for n, part in enumerate([rows[:20] + rows[:3], rows[20:], [late, (100, 345_600 + 40 * step, "a", 0.0)], [(101, 345_600 + 60 * step, "a", 0.0)]]):
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds("at")).drop("at").coalesce(1).write.parquet(f"{tmp_path}/{n}.parquet")
+        time.sleep(1.1)  # files are read in order of their time
+    table = spark.read.parquet(*[f"{tmp_path}/{n}.parquet" for n in range(4)])
+    interval = {"hour": "1h", "week": "1w"}[every]
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*.parquet")
+    q = stream_bars(stream, interval).writeStream.format("memory").queryName(f"bars_{every}").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {tuple(r) for r in spark.table(f"bars_{every}").where("time < " + str((345_600 + 40 * step) * 1000)).collect()}
+    want = {tuple(r) for r in stream_bars(table.where("event_id < 99"), interval).collect()}
+    assert got == want and len(want) == 10
+
+
 def test_segments_hold_what_the_plain_list_says(spark):
     rows = evaluate.walk_forward(make(spark, range(23)), 6, 3, 4).select((F.col("time") / 60_000).cast("int"), "segment", "held_out").collect()
     assert {tuple(r) for r in rows} == {(i, k, i >= test) for k, start, test, end in analytics.segments(23, 6, 3, 4) for i in range(start, end)} and len(rows) == 9 * 4
