@@ -58,6 +58,18 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return out
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, Spark passes Python batches of at most so many rows, which bounds the memory that long texts take."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes what materialize() wrote, once nothing reads it any more."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
