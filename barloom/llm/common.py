@@ -58,16 +58,16 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return out
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, Spark passes Python batches of at most so many rows, which bounds the memory that long texts take."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of long texts that Spark passes to Python at once.
+BATCH = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets, for the session, that batches for Python hold BATCH rows at most: they bound what texts take in either process."""
+    now = int(spark.conf.get(BATCH_KEY))
+    if not 0 < now <= BATCH:
+        spark.conf.set(BATCH_KEY, str(BATCH))
 
 
 def drop_table(df: DataFrame) -> None:
@@ -81,6 +81,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def placed(df: DataFrame, out_col: str, *order: Column) -> DataFrame:
+    """df with each row's place (from 0) in an order: a range partitioning sorted within, and the rows of the partitions before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    rows = materialize(rows, "order")
+    before, at = [], 0
+    for r in rows.groupBy("_part").count().orderBy("_part").collect():  # one row a partition
+        before.append((r["_part"], at))
+        at += r["count"]
+    starts = df.sparkSession.createDataFrame(before, "_part int, _before long")
+    return rows.join(F.broadcast(starts), "_part").withColumn(out_col, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -9,7 +9,8 @@ document itself doesn't count.
 The classifier is fitted on at most MAX_LABELS labelled rows (the least hashes of the id). Null and empty texts have all
 measures at zero and get a score like others. Null host or path is a group of its own. Null ids and labels aren't learned
 from; of several labels of an id the largest counts. Without both labels the share of label 1 (else 0.5) is the evidence.
-The input's other columns stay.
+The input's other columns
+aren't read; rows that repeat are rows like others.
 """
 
 from __future__ import annotations

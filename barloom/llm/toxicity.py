@@ -7,7 +7,7 @@ several documents without and in none with the label; a term inside one counts n
 counts. Sums of weights are normalised by the number of words; a logistic curve over four such sums gives the score.
 
 The statistics run in Spark over the sample; MAX_LABELS rows (those with the least hash of the id) bound what is learned
-from, MAX_TERMS and MAX_PHRASES what is broadcast. Null and empty texts get the score of a document without a match. Null
+from, and so the lexicon: a term is in LEAST_DOCS of their toxic texts, a phrase in LEAST_CLEAN of the others. Null and empty texts get the score of a document without a match. Null
 ids and null labels aren't learned from; of several labels of an id, the largest counts. Without both labels in the sample
 the share of label 1 (0.5 without any label) is every document's score. The input's other columns stay.
 """
@@ -31,10 +31,9 @@ from pyspark.sql import types as T
 from .common import materialize
 
 MAX_LABELS = 12_000
-MAX_TERMS = 3_000
-MAX_PHRASES = 3_000
 PREFIXES = range(3, 8)
 LEAST_DOCS = 4
+LEAST_CLEAN = 3
 LEAST_LOG_ODDS = 1.5
 
 # Letters that look like Latin ones, and what digits and signs stand for.
@@ -117,8 +116,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     counts = rows.mapInPandas(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n1") >= LEAST_DOCS)
-    best = counts.withColumn("w", odds).where(F.col("w") >= LEAST_LOG_ODDS).withColumn("z", F.col("w") / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5)))
-    weights = {r["term"]: r["w"] for r in best.orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()}
+    weights = {r["term"]: r["w"] for r in counts.withColumn("w", odds).where(F.col("w") >= LEAST_LOG_ODDS).orderBy("term").collect()}
 
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole, starts = {t.strip() for t in weights if t.endswith(" ")}, {t[1:] for t in weights if not t.endswith(" ")}
@@ -132,7 +130,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             yield pd.DataFrame([(t, of[0][t], of[1][t]) for t in of[0] | of[1]], columns=["phrase", "n0", "n1"])
 
     said = rows.mapInPandas(phrases, "phrase string, n0 long, n1 long").groupBy("phrase").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    exceptions = tuple(r["phrase"] for r in said.where("n0 >= 3 and n1 = 0").orderBy(F.desc("n0"), "phrase").limit(MAX_PHRASES).collect())
+    exceptions = tuple(r["phrase"] for r in said.where((F.col("n0") >= LEAST_CLEAN) & (F.col("n1") == 0)).orderBy("phrase").collect())
     lexicon = Lexicon(weights, exceptions)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -130,6 +130,22 @@ def test_shards_are_even_with_a_hot_key(spark):
     assert len(sizes) == 6 and max(sizes) - min(sizes) <= 2 * 58
 
 
+def test_shards_from_many_ranges(spark, monkeypatch):
+    """Ranges of few rows, looked up in two steps: the same laws hold, and other columns of any name don't matter."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 10)
+    monkeypatch.setattr(sharding, "INLINE", 15)
+    df = spark.range(4000).select((F.col("id") * 7 % 4001).alias("doc_id"), F.repeat(F.lit("é"), (F.col("id") % 30).cast("int")).alias("text"), F.lit(1).alias("_range"), F.lit(2).alias("size"))
+    got = sharding.shard_by_bytes(df, 5).collect()
+    want = {i * 7 % 4001: 2 * (i % 30) + 8 for i in range(4000)}
+    assert {r.doc_id: r["size"] for r in got} == want
+    of = defaultdict(list)
+    for r in got:
+        of[r.shard].append(r)
+    sizes = [sum(r["size"] for r in rows) for rows in of.values()]
+    assert max(sizes) - min(sizes) <= 2 * 66 and all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in of.values())
+    assert all(max(r.doc_id for r in of[k]) < min(r.doc_id for r in of[k + 1]) for k in range(4))
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(documents()) and all(r.taken == r.copies * r["size"] <= 3 * r["size"] for r in got)
@@ -161,6 +177,32 @@ def test_mix_keeps_mass(spark):
         assert abs(r.t - r.x) <= 40
 
 
+def test_levels_of_many_sources(spark):
+    """The level found by quantiles is the one that pouring source by source gives."""
+    sizes = {f"s{k:03d}": (k * k * 37) % 1000 + (k % 7 == 0) * 50_000 for k in range(300)} | {None: 12}
+    got = {r.source: (r.sid, r.target) for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, target, left, open_ = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, {}, sum(sizes.values()), set(order)
+    while over := {s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 3 * sizes[s]}:
+        target |= {s: 3 * sizes[s] for s in over}
+        left, open_ = left - sum(3 * sizes[s] for s in over), open_ - over
+    target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    assert all(got[s] == (k, pytest.approx(target[s], rel=1e-9, abs=1e-6)) for k, s in enumerate(order))
+
+
+def test_repeated_rows_share_their_copies(spark):
+    rows = [(1, "a b c", "x")] * 700 + [(k, "d e", "x") for k in range(2, 300)] + [(k, "f", "y") for k in range(300, 1300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    same = [r.copies for r in got if r.doc_id == 1]
+    assert len(same) == 700 and max(same) - min(same) <= 1
+    for size in {r.source_size for r in got}:
+        mine = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3
+    assert mixing.mixed(df).count() == sum(r.copies for r in got)
+
+
 def test_bpe_equals_the_library(spark, docs, empty):
     from tokenizers import Tokenizer
 
@@ -177,8 +219,15 @@ def test_bpe_equals_the_library(spark, docs, empty):
 
 
 def test_decode_replaces_bytes_that_are_not_utf8(spark):
-    df = spark.createDataFrame([([222, 222],), ([],), (None,)], "ids array<int>")
-    assert [r.decoded for r in bpe.decode(df.where("ids is not null"), tokenizer_path()).collect()][1] == ""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenizer_path())
+    first = bpe.load(tokenizer_path()).first
+    odd = [bytes([0xC3]), b"a\xff", b"\xe6\xbc", "é漢".encode(), b"\xf0\x9f\x99 x", b"\xc0\x80"]
+    rows = [[int(first[b]) for b in x] for x in odd] + [[], None]
+    got = [r.decoded for r in bpe.decode(spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, ids array<int>"), tokenizer_path()).orderBy("k").collect()]
+    assert got[:6] == [lib.decode(x, skip_special_tokens=False) for x in rows[:6]] and got[6:] == ["", ""]
+    assert got[0] == "\ufffd" and got[3] == "é漢"
 
 
 def test_lm(spark, docs, empty):
@@ -196,6 +245,42 @@ def test_lm(spark, docs, empty):
     assert lm.score(other, nothing).first().n_known == 0 and lm.score(empty, nothing).count() == 0
 
 
+def test_lm_reads_no_other_columns_and_does_not_depend_on_partitions(spark):
+    rows = [(k, prose(20)) for k in range(40)] + [(3, "again"), (3, "again"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = df.withColumns({c: F.lit("x") for c in ("id", "_h", "trainer", "word", "_row", "score", "rare")})
+    one, two = lm.score(df, lm.fit(df)), lm.score(odd.repartition(5), lm.fit(odd.repartition(3)))
+    key = lambda out: Counter((r.doc_id, r.n_tokens, round(r.score, 3), round(r.base_score, 3)) for r in out.collect())
+    assert key(one) == key(two)
+
+
+def test_network_equals_plain_sums():
+    """The probability of a short text, step by step and class by class."""
+    counts = [(f"v{k}".encode(), 60 - k) for k in range(30)] + [(lm.END, 9)]
+    voc, c = lm.vocabulary(counts, {3: (20, 5), 5: (7, 2)})
+    net = lm.Network(voc, c, 4)
+    r = np.random.default_rng(3)
+    net.p = {k: v + r.normal(0, 0.3, v.shape).astype(np.float32) for k, v in net.p.items()}
+    p, n, head = {k: v.astype(float) for k, v in net.p.items()}, lm.HIDDEN, len(voc.head)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    text = [voc.head.index(b"v3"), head + 3, voc.head.index(b"v0"), voc.head.index(b"v29"), head + 200, voc.head.index(lm.END)]
+    h, last, total = np.zeros(n), voc.head.index(lm.END), 0.0
+    for code in text:
+        x, s = p["x"][last] + p["b"][0], h @ p["u"]
+        z, g = sigmoid(x[:n] + s[:n]), sigmoid(x[n : 2 * n] + s[n : 2 * n])
+        new = np.tanh(x[2 * n :] + g * s[2 * n :])
+        h = z * h + (1 - z) * new
+        classes = np.exp(h @ p["c"] + p["cb"][0])
+        k = int(np.searchsorted(voc.first, code, side="right")) - 1 if code < head else len(voc.first) - 1 + (code - head) % lm.TAILS
+        total += np.log10(classes[k] / classes.sum())
+        if code < head:
+            lo, hi = voc.first[k], voc.first[k + 1]
+            words = np.exp(p["w"][lo:hi] @ h + p["wb"][lo:hi, 0])
+            total += np.log10(words[code - lo] / words.sum())
+        last = code
+    assert net.score([np.array(text)])[0] == pytest.approx(total, abs=1e-3)
+
+
 def test_network_learns_from_every_text(spark):
     """Each text has words of its own: the gates of all of them have moved."""
     texts = [f"one{k} two{k} three{k}" for k in range(60)]
@@ -247,6 +332,58 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(docs, toxicity.fit(empty, lab)).count() == len(documents())
 
 
+def test_lexicon_matches_as_a_plain_search_does():
+    r = random.Random(5)
+    words = ["ab", "abc", "abcd", "bcd", "scum", "scumbag", "of", "x"]
+    for _ in range(200):
+        weights = {f" {w} ": 1.0 + k for k, w in enumerate(r.sample(words, 4))} | {f" {w[:3]}": 0.5 + k for k, w in enumerate(r.sample(words[1:6], 2))}
+        exceptions = tuple(f" {r.choice(words)}  {r.choice(words)} " for _ in range(2))
+        lexicon = toxicity.Lexicon(weights, exceptions)
+        text = [r.choice(words) + r.choice(["", "", "y"]) for _ in range(r.randrange(1, 30))]
+        line, at, found, keys = "  ".join(["", *text, ""]), 0, [], {**weights, **dict.fromkeys(exceptions, 0.0)}
+        while at < len(line):  # the longest key that starts here, else one place on
+            here = max((k for k in keys if line.startswith(k, at)), key=len, default=None)
+            found += [keys[here]] if here and keys[here] else []
+            at += len(here) if here else 1
+        n, total = len(text), sum(found)
+        want = (10 * total / (n + 10), total / np.sqrt(n + 10), max(found, default=0.0), np.log1p(len(found)))
+        assert toxicity.measures(text, lexicon.automaton()) == pytest.approx(want)
+
+
+def test_quality_equals_posteriors_by_hand(spark):
+    rows = [(k, "%%% $$$ " * 9 if k % 3 == 0 else prose(30), r, f"h{k % 4}" if k % 5 else None) for k, r in ((k, ("en", "de", None)[k % 7 % 3]) for k in range(90))]
+    df = spark.createDataFrame([(k, t, p, h) for k, t, p, h in rows] + [rows[4][:4]], "doc_id long, text string, lang string, source string")
+    lab = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(60)] + [(61, None), (None, 1)], "doc_id long, quality int")
+    got = quality.quality(df, lab, F.col("source"), F.col("lang")).collect()
+    assert len(got) == 91
+    where = {k: (h, p) for k, _, p, h in rows}
+    evidence = [(where[r.doc_id], r.evidence) for r in got]
+    mean = sum(e for _, e in evidence) / len(evidence)
+
+    def sums(key):
+        out = defaultdict(lambda: [0, 0.0])
+        for place, e in evidence:
+            out[key(place)][0] += 1
+            out[key(place)][1] += e
+        return out
+
+    def strength(groups):
+        n = sum(a for a, _ in groups.values())
+        between = sum(a * (b / a - mean) ** 2 for a, b in groups.values()) / n - mean * (1 - mean) * len(groups) / n
+        return min(1e4, max(1.0, mean * (1 - mean) / max(between, 1e-6) - 1))
+
+    hosts, paths = sums(lambda p: p[0]), sums(lambda p: p)
+    a, b = strength(hosts), strength(paths)
+    odds = lambda p: np.log(p / (1 - p))
+    for r in got:
+        h, p = where[r.doc_id][0], where[r.doc_id]
+        host = (hosts[h][1] + a * mean) / (hosts[h][0] + a)
+        path = (paths[p][1] - r.evidence + b * host) / (paths[p][0] - 1 + b)
+        assert r.host_posterior == pytest.approx(host) and r.path_posterior == pytest.approx(path)
+        want = odds(r.evidence) - odds(mean) + odds(path)
+        assert r.quality == pytest.approx(1 / (1 + np.exp(-want))) and r.kept == (r.quality >= 0.5)
+
+
 def test_quality(spark, docs, empty):
     rows = [(k, prose(50) if k % 2 else "%%% $$$ " * 25, "en", f"s{k % 5}", 0) for k in range(120)]
     df = spark.createDataFrame(rows, DOCS).unionByName(docs)
@@ -282,6 +419,41 @@ def test_ann(spark):
     assert [t.vec_id for t in ann.search(df.where("vec_id < 3"), F.col("vec_id") % 100 == 0).collect()].__len__() == 2
 
 
+def true_neighbours(x, ids, row, k):
+    d = np.sqrt(((x - x[row]) ** 2).sum(1))
+    return [ids[j] for j in np.lexsort((ids, d)).tolist() if j != row][:k]
+
+
+def test_ann_over_many_blocks(spark, monkeypatch):
+    """3,000 clustered vectors in 94 blocks: windows hold a part of the table, and recall is 0.9 or more."""
+    monkeypatch.setattr(ann, "BLOCK", 32)
+    r = np.random.default_rng(8)
+    x = (r.normal(size=(60, 12))[r.integers(0, 60, 3000)] + 0.15 * r.normal(size=(3000, 12))).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    sides = []
+    fit = ann._fit_side
+    monkeypatch.setattr(ann, "_fit_side", lambda *a: sides.append(fit(*a)) or sides[-1])
+    got = defaultdict(list)
+    for row in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[row.query_id].append(row.vec_id)
+    wide, ids = x.astype(np.float64), np.arange(3000)
+    recall = np.mean([len(set(true_neighbours(wide, ids, q, 10)) & set(found)) / 10 for q, found in got.items()])
+    assert len(got) == 150 and 2 * sides[0] + 1 <= 20 and recall >= 0.9
+
+
+def test_ann_ties_and_repeated_ids(spark):
+    """Unit vectors are all at one distance: the least ids come first. A query row leaves out itself only."""
+    df = spark.createDataFrame([(k, [float(j == k) for j in range(64)]) for k in range(64)], "vec_id long, embedding array<double>")
+    for row in ann.search(df, F.col("vec_id") % 32 == 0).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))).alias("x")).collect():
+        assert [x.vec_id for x in row.x] == [k for k in range(64) if k != row.query_id][:10]
+    twice = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 3.0]), (100, [1.0, 2.0])], "vec_id long, embedding array<double>").withColumn("node_key", F.lit(1))
+    got = Counter(tuple(r) for r in ann.search(twice, F.col("vec_id") == 0).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == {(0, 1, 0, 0.0): 2, (0, 2, 100, 0.0): 2, (0, 3, 1, 1.0): 2}
+    many = spark.createDataFrame([(k, [1.0, 1.0]) for k in range(30)] + [(7, [5.0, 5.0]), (29, [2.0, 2.0])], "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in ann.search(many, (F.col("vec_id") == 29) & (F.col("embedding")[0] == 1), k=3).orderBy("rank").collect()]
+    assert got == [0, 1, 2]
+
+
 def test_hilbert_keys_are_a_path():
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     path = grid[np.argsort(ann.hilbert_keys(grid, 3))]
@@ -383,6 +555,16 @@ def test_warc_keeps_repeated_headers(spark):
             assert b"source-header-set-cookie: a=1\r\n" in bytes(r.block) and b"source-header-set-cookie: b=2\r\n" in bytes(r.block)
 
 
+def test_pipeline_of_nothing_and_with_clashing_names(spark, tmp_path, docs, empty):
+    import corpus_pipeline
+
+    for name, df in (("none", empty), ("odd", clash(docs).withColumns({"_toxicity": F.lit("x"), "copies": F.lit(1)}))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.count() == 0 if name == "none" else out.count() > 0
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
