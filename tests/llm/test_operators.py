@@ -99,6 +99,90 @@ def test_near_dedup(docs, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def linked_components(sets):
+    """Brute force: the least key that links of 0.75 or more reach."""
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(sets)
+    for k, i in enumerate(keys):
+        for j in keys[:k]:
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in keys}
+
+
+def test_near_dedup_on_both_sides_of_the_threshold(spark):
+    """Texts of n shingles and others that share n - k of them: a similarity of (n - k) / (n + k), exactly 0.75 for n = 7 k."""
+    rows, r = [], random.Random(9)
+    for k in (1, 2, 3, 5):
+        for n in (7 * k - 1, 7 * k, 7 * k + 1):
+            w = [f"{k}x{n}x{j}" for j in range(n + 4)]
+            rows += [w, w[:-k] + [f"{x}new" for x in w[-k:]], [x.upper() for x in w]]
+    rows = [(j, " ".join(w)) for j, w in enumerate(rows)]
+    r.shuffle(rows)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = linked_components({j: shingles(t) for j, t in rows})
+    assert got == want and len(set(want.values())) == 16
+
+
+def test_a_round_checks_a_pair_a_member_at_most(spark):
+    """Two buckets of 500 and 300 nodes: rounds emit fewer pairs than members, and never one of equal components."""
+    rows = [(1, k, k % 250) for k in range(500)] + [(2, k, k) for k in range(300)]
+    df = spark.createDataFrame(rows, "key long, node long, c long").withColumn("k", F.when(F.col("key") == 1, 500).otherwise(300))
+    for turn in (0, 1, 2):
+        pairs = near_dedup.star_pairs(df, turn).collect()
+        assert 0 < len(pairs) < 800 and all(p.a != p.b for p in pairs)
+    assert {tuple(p) for p in near_dedup.star_pairs(df, 1).collect()} != {tuple(p) for p in near_dedup.star_pairs(df, 2).collect()}
+
+
+def test_exact_links_of_a_large_bucket(spark):
+    """Texts that share a passage, some of them similar and some not: the links are a forest that gives brute force's components."""
+    r = random.Random(2)
+    passage, sets = list(range(1000, 1080)), {}
+    for k in range(240):
+        own = [k * 10_000 + j for j in range(r.choice([3, 10, 20, 24, 30, 60]))]
+        part = passage if k % 3 else r.sample(passage, 70)
+        sets[k] = frozenset(part + own)
+    for k in range(240, 300):
+        sets[k] = frozenset(sorted(sets[k - 240])[: r.randrange(60, 100)] + [k])
+    nodes = spark.createDataFrame([(k, k) for k in sets], "node long, c long")
+    table = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, shingles array<long>")
+    links = near_dedup.exact_links(nodes, table, 75).coalesce(1)
+    found = dict(map(tuple, components(links).collect()))
+    want = linked_components(sets)
+    assert {k: found.get(k, k) for k in sets} == want and 1 < len(set(want.values())) < 300
+    assert near_dedup.exact_links(nodes, table, 75).count() <= 4 * 299  # a forest a task
+    assert near_dedup.exact_links(nodes.where("node < 0"), table, 75).count() == 0
+
+
+def test_components_beyond_one_task(spark, monkeypatch):
+    from barloom.llm import components as module
+
+    monkeypatch.setattr(module, "ONE_TASK", 3)
+    links = [(k, k + 1) for k in range(60)] + [(1000 - k, 200) for k in range(50)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()))
+    assert got == {k: 0 for k in range(61)} | {k: 200 for k in [200, *range(951, 1001)]}
+
+
+def test_bloom_filter_of_several_ranges(spark, monkeypatch):
+    """Bits a key stay the same: keys that are there pass, few others do, range by range."""
+    from barloom.llm import bloom
+
+    monkeypatch.setattr(bloom, "RANGE_BITS", 2 * bloom.BLOCK_BITS)
+    keys, others = spark.range(20_000).select(F.col("id").alias("k")), spark.range(20_000, 40_000).select(F.col("id").alias("k"))
+    found = bloom.written(bloom.filter_of, keys, "k")
+    assert found[1] >= 8 and bloom.test(keys, "k", found, "hit").where("hit").count() == 20_000
+    tested = bloom.test(others, "k", found, "hit")
+    assert tested.count() == 20_000 and tested.where("hit").count() < 1_000
+
+
 def test_superminhash_estimates_similarity():
     r = np.random.default_rng(0)
     pool = near_dedup.mix64(r.integers(0, 1 << 62, 400).astype(np.uint64))
