@@ -169,7 +169,7 @@ class _Partition:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
 
 
-def _in_slices(batches: Iterator[pa.RecordBatch], col: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def _in_slices(batches: Iterator[pa.RecordBatch], col: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the column has about `most` bytes a slice; a row is never cut."""
     for b in batches:
         rows = max(1, int(b.num_rows * most / max(1, b.column(col).nbytes)))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bloom
-from .common import batches_of, materialize, scratch, spread
+from .common import materialize, scratch, small_batches, spread
 from .components import components, united
 
 BANDS, ROWS = 80, 7
@@ -49,8 +49,6 @@ SHINGLE = 5
 #: Shingles sketched at once.
 CHUNK = 15_000
 KEPT_WORDS = 150_000
-#: Rows that Spark passes to Python at once.
-BATCH = 2_000
 EMPTY = np.uint32(0xFFFFFFFF)
 C1, C2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -268,7 +266,8 @@ def exact_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """id_col, n_shingles, component_id (the least id that links reach) and kept (it is its own), one row for each row."""
-    with scratch(), batches_of(df.sparkSession, BATCH):
+    small_batches(df.sparkSession)
+    with scratch():
         seen = materialize(sketches(df, id_col, text_col), "sketches")
         usable = seen.where("f1 is not null and id is not null")
         groups = spread(usable.groupBy("f1", "f2").agg(F.min("id").alias("node")))
