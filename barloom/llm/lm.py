@@ -24,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,14 +35,15 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 HEAD, DICTIONARY = 4_096, 1 << 18
-CLASSES, TAILS, ENDINGS = 32, 32, 256
-HIDDEN, WINDOW, WIDTH = 16, 32, 512
+CLASSES, TAILS, ENDINGS = 24, 24, 256
+HIDDEN, WINDOW, WIDTH = 12, 16, 1_024
 TRAINER_TOKENS = 3_000_000
 #: Slices of the averaged tables, how many of a slice meet in a task, and rows of one id and text that a task sends to one trainer.
 PARTS, FAN_IN, TOGETHER = 8, 32, 64
-#: States scored at once.
-SCORED = 30_000
-RATE, START = 0.15, 1.0  # of Adagrad: the step, and the sum of squares it starts from
+#: Documents, or their tokens, that go side by side in scoring; states scored at once.
+DOCS, HELD = 8_000, 4_000_000
+SCORED = 15_000
+RATE, START = 0.3, 1.0  # of Adagrad: the step, and the sum of squares it starts from
 END = b""
 HALF, ONE = np.float32(0.5), np.float32(1)
 LOG10 = math.log(10)
@@ -52,6 +54,37 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+def _sum1(x: np.ndarray) -> np.ndarray:
+    """Sums by row; a product with ones is the fastest way to them."""
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _sum0(x: np.ndarray) -> np.ndarray:
+    return np.ones(len(x), x.dtype) @ x
+
+
+def _order(codes: np.ndarray) -> np.ndarray:
+    """A stable order of codes; two bytes hold them, which numpy sorts by radix."""
+    return np.argsort(codes.astype(np.uint16), kind="stable")
+
+
+class Codes(dict):
+    """Codes of words: those of the head as given, others by their ending. Of the others, some are kept."""
+
+    def __init__(self, head: list[bytes], kept: int = 300_000) -> None:
+        super().__init__({w: k for k, w in enumerate(head)})
+        self.head, self.kept = len(head), len(head) + kept
+
+    def __missing__(self, word: bytes) -> int:
+        code = self.head + ending(word)
+        if len(self) < self.kept:
+            self[word] = code
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 def ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
@@ -63,8 +96,8 @@ class Vocabulary:
     tail_tokens: np.ndarray  # by tail class, as tail_words
     tail_words: np.ndarray
 
-    def codes(self) -> dict[bytes, int]:
-        return {w: k for k, w in enumerate(self.head)}
+    def codes(self) -> Codes:
+        return Codes(self.head)
 
     @property
     def n_codes(self) -> int:
@@ -121,38 +154,38 @@ class Network:
     def log_probability(self, h: np.ndarray, code: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Of the next codes, by state (natural logarithm; a word of the tail as its class). With grads: also the slope of the loss by state."""
         p, head = self.p, len(self.voc.head)
-        cls = self.class_of[code]
-        rows = np.arange(len(h))
         e = h @ p["c"]
         e += p["cb"]
         e = self._exp(e, float((np.abs(p["c"]).sum(0) + np.abs(p["cb"][0])).max()))  # states lie within -1 and 1
-        total = e.sum(1)
-        out = np.log(e[rows, cls] / total)
+        flat, total = e.ravel(), _sum1(e)
+        at = np.arange(len(h)) * e.shape[1] + np.take(self.class_of, code)
+        out = np.log(np.take(flat, at) / total)
         dh = None
         if grads is not None:
             e /= total[:, None]
-            e[rows, cls] -= 1
-            grads["c"], grads["cb"] = h.T @ e, e.sum(0)[None]
+            flat[at] -= 1
+            grads["c"], grads["cb"] = (e.T @ h).T, _sum0(e)[None]
             dh = e @ p["c"].T
         known = np.flatnonzero(code < head)
-        known = known[np.argsort(code[known], kind="stable")]  # codes of a class follow one another
-        of, states = code[known], h[known]
+        known = known[_order(np.take(code, known))]  # codes of a class follow one another
+        of, states = np.take(code, known), np.take(h, known, axis=0)
         cuts = np.searchsorted(of, self.voc.first)
         bounds = np.abs(p["w"]).sum(1) + np.abs(p["wb"][:, 0])
         inside, back = np.empty(len(known), np.float32), np.empty_like(states) if grads is not None else None
         for k in np.flatnonzero(np.diff(cuts)):
             i, j = cuts[k], cuts[k + 1]
             lo, hi = self.voc.first[k], self.voc.first[k + 1]
-            w, at, rows = p["w"][lo:hi], states[i:j], np.arange(j - i)
-            e = at @ w.T
+            w, own = p["w"][lo:hi], states[i:j]
+            e = own @ w.T
             e += p["wb"][lo:hi, 0]
             e = self._exp(e, float(bounds[lo:hi].max()))
-            total = e.sum(1)
-            inside[i:j] = e[rows, of[i:j] - lo] / total
+            flat, total = e.ravel(), _sum1(e)
+            at = np.arange(j - i) * (hi - lo) + of[i:j] - lo
+            inside[i:j] = np.take(flat, at) / total
             if grads is not None:
                 e /= total[:, None]
-                e[rows, of[i:j] - lo] -= 1
-                grads["w"].append((lo, hi, e.T @ at, e.sum(0)[:, None]))
+                flat[at] -= 1
+                grads["w"].append((lo, hi, e.T @ own, _sum0(e)[:, None]))
                 np.matmul(e, w, out=back[i:j])
         out[known] += np.log(inside)
         if grads is not None:
@@ -171,7 +204,7 @@ class Network:
         h, last = np.zeros((len(docs), HIDDEN), np.float32), np.full(len(docs), self.end)
         states, nexts, who, rows = [], [], [], 0
         for t, m in enumerate(live.tolist()):
-            h = self.step(gates[last[:m]], h[:m])[0]
+            h = self.step(np.take(gates, last[:m], axis=0), h[:m])[0]
             last = codes[at[:m] + t]
             states.append(h)
             nexts.append(last)
@@ -214,7 +247,7 @@ class Network:
             inputs = np.maximum(before[lo : lo + WINDOW], 0)
             steps = len(inputs)
             fresh = [np.flatnonzero(x) for x in before[lo : lo + WINDOW] == end]  # a new document starts from an empty state
-            x = p["x"][inputs]
+            x = np.take(p["x"], inputs, axis=0)
             x += p["b"]
             was, z, r, new, own, now = (np.empty((steps, width, h_), np.float32) for _ in range(6))
             for t in range(steps):
@@ -250,12 +283,12 @@ class Network:
                 carry += d
                 carry[fresh[t]] = 0
             flat, gates = inputs.ravel(), gates.reshape(-1, 3 * h_)
-            order = np.argsort(flat, kind="stable")
-            sorted_ = flat[order]
+            order = _order(flat)
+            sorted_ = np.take(flat, order)
             cuts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-            update("x", sorted_[cuts], np.add.reduceat(gates[order], cuts))
-            update("b", slice(None), gates.sum(0)[None])
-            update("u", slice(None), was.reshape(-1, h_).T @ inner.reshape(-1, 3 * h_))
+            update("x", sorted_[cuts], np.add.reduceat(np.take(gates, order, axis=0), cuts))
+            update("b", slice(None), _sum0(gates)[None])
+            update("u", slice(None), (inner.reshape(-1, 3 * h_).T @ was.reshape(-1, h_)).T)
             update("c", slice(None), grads["c"])
             update("cb", slice(None), grads["cb"])
             for first, to, dw, db in grads["w"]:
@@ -335,16 +368,17 @@ def _train(df: DataFrame, id_col: str, text_col: str, net: Network, n_tokens: in
     model = spark.sparkContext.broadcast(net)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, head, seen = model.value.voc.codes(), len(model.value.voc.head), Counter()
+        codes, seen = model.value.voc.codes(), Counter()
         for b in batches:
             for lo in range(0, b.num_rows, 1_000):
                 part = b.slice(lo, 1_000)
-                rows = [[codes[w] if w in codes else head + ending(w) for w in words_of(t)] for t in part.column(0).to_pylist()]
+                rows = [codes.of(words_of(t)) for t in part.column(0).to_pylist()]
                 to = []
                 for h in part.column(1).to_pylist():
                     to.append((h + seen[h] // TOGETHER) % trainers)
                     seen[h] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), part.column(1), pa.array(rows, pa.list_(pa.int32()))], ["trainer", "h", "codes"])
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), part.column(1), lists], ["trainer", "h", "codes"])
 
     def trained(pdf: pd.DataFrame) -> pd.DataFrame:
         net = model.value
@@ -361,6 +395,7 @@ def _train(df: DataFrame, id_col: str, text_col: str, net: Network, n_tokens: in
 
     schema = "node int, part int, change binary, used binary"
     rows = texts.mapInArrow(coded, "trainer int, h long, codes array<int>")
+    rows = rows.repartition(trainers, "trainer")  # about one trainer a task, however many there are
     sums, nodes = rows.groupBy("trainer").applyInPandas(trained, schema), -(-trainers // FAN_IN)
     while True:  # a reduction tree: FAN_IN slices meet in a task, whatever the number of trainers
         sums = sums.groupBy("node", "part").applyInPandas(added, schema)
@@ -390,22 +425,34 @@ def score(df: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, words = shared.value
-        codes, head = net.voc.codes(), len(net.voc.head)
+        codes, head = Codes(net.voc.head, 0), len(net.voc.head)
         place = {w: k for k, (w, _) in enumerate(words)}
-        code = np.array([codes[w] if w in codes else head + ending(w) for w, _ in words] or [0])
+        code = np.array([codes[w] for w, _ in words] or [0])
         log_c = np.log10(np.array([c for _, c in words] or [0]) + 0.5)
         tail = -np.log10(net.voc.tail_tokens + 0.5 * (net.voc.tail_words + 1))
+        ids, docs, rare, n_known, plain, inside, held = [], [], [], [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            lists = pa.array([[{"word": x, "n": n} for x, n in r] for r in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
+            sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+            cols = [pa.concat_arrays(ids), pa.array(sizes), pa.array(n_known, pa.int64()), pa.array(plain, pa.float64()), pa.array(net.score(docs) + np.array(inside)), lists]
+            for x in (ids, docs, rare, n_known, plain, inside):
+                x.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "n_known", "base_score", "score", "rare"])
+
         for b in batches:
-            for lo in range(0, b.num_rows, 5_000):
-                part = b.slice(lo, 5_000)
-                docs, rare, n_known, plain, inside = [], [], [], [], []
+            for lo in range(0, b.num_rows, 1_000):
+                part = b.slice(lo, 1_000)
+                ids.append(part.column(0))
                 for text in part.column(1).to_pylist():
                     w = words_of(text)
-                    at = np.fromiter((place.get(x, -1) for x in w), np.int64, len(w))
+                    at = np.fromiter(map(place.get, w, repeat(-1)), np.int64, len(w))
                     mine = code[at]
                     gone = np.flatnonzero(at < 0)
                     for k in gone.tolist():  # END is in the head even where no text was counted
-                        mine[k] = codes[w[k]] if w[k] in codes else head + ending(w[k])
+                        mine[k] = codes[w[k]]
                     few = Counter(w[k] for k in gone.tolist())
                     logs = np.where(at >= 0, log_c[at], 0.0)
                     tails = np.flatnonzero(mine >= head)
@@ -414,13 +461,11 @@ def score(df: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str =
                     n_known.append(len(w) - len(gone))
                     plain.append(logs.sum() - base * len(w))
                     inside.append(logs[tails].sum() + tail[(mine[tails] - head) % TAILS].sum())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array(np.fromiter(map(len, docs), np.int64, len(docs))), pa.array(n_known, pa.int64()), pa.array(plain, pa.float64()),
-                        pa.array(net.score(docs) + np.array(inside)), pa.array([[{"word": x, "n": n} for x, n in r] for r in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-                    ],
-                    ["id", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
+                    held += len(w)
+                if len(docs) >= DOCS or held >= HELD:
+                    yield flush()
+        if docs:
+            yield flush()
 
     out = df.select(id_col, text_col).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, n: long>>")
     out = materialize(out.withColumn("_row", F.monotonically_increasing_id()), "scored")
