@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pieces kept for a partition before the table starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 #: Fixed value: the split of byte-level BPE, white space spelt out as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -169,7 +169,7 @@ class _Partition:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
 
 
-def _in_slices(batches: Iterator[pa.RecordBatch], col: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _in_slices(batches: Iterator[pa.RecordBatch], col: str, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the column has about `most` bytes a slice; a row is never cut."""
     for b in batches:
         rows = max(1, int(b.num_rows * most / max(1, b.column(col).nbytes)))
