@@ -199,8 +199,9 @@ def _members(reps: DataFrame, wave: int, known: DataFrame | None) -> DataFrame:
         linked = tested.where("_maybe").join(spread(known), F.col("node") == F.col("id"), "left")
         coloured = tested.where(~F.col("_maybe")).select("node", "keys", F.col("node").alias("c")).union(linked.select("node", "keys", F.coalesce("component", "node")))
     bands = coloured.select("node", "c", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("members")).where("c1 < c2")
-    buckets = materialize(buckets.groupBy("c1", "c2", "k", "members").agg(F.min("key").alias("key")).select("key"), "buckets")
+    h = F.xxhash64("node")  # the sum tells members apart that repeated rows cancel in the exclusive or
+    buckets = bands.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("k"), F.bit_xor(h).alias("m1"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("m2")).where("c1 < c2")
+    buckets = materialize(buckets.groupBy("c1", "c2", "k", "m1", "m2").agg(F.min("key").alias("key")).select("key"), "buckets")
     inside = bloom.test(bands, "key", bloom.written(bloom.filter_of, buckets, "key"), "_maybe").where("_maybe").drop("_maybe")
     return materialize(inside.join(spread(buckets), "key").select("key", "node", "c"), "members")
 

@@ -127,7 +127,9 @@ def test_near_dedup_on_both_sides_of_the_threshold(spark):
             rows += [w, w[:-k] + [f"{x}new" for x in w[-k:]], [x.upper() for x in w]]
     rows = [(j, " ".join(w)) for j, w in enumerate(rows)]
     r.shuffle(rows)
-    got = {x.doc_id: x.component_id for x in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice = near_dedup.near_dedup(spark.createDataFrame(rows + rows, "doc_id long, text string")).collect()
+    got = {x.doc_id: x.component_id for x in twice}
+    assert len(twice) == 2 * len(rows)
     want = linked_components({j: shingles(t) for j, t in rows})
     assert got == want and len(set(want.values())) == 16
 
